@@ -8,12 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lumispark.llm.chat import op10_chat
 from lumispark.llm.fingerprint import op5_fingerprint
+from lumispark.llm.mixing import op1_mixing
+from lumispark.llm.neighbours import op4_neighbours
+from lumispark.llm.packing import op3_packing, op6_binary
 from lumispark.llm.secrets import op7_secrets
 from lumispark.llm.simhash import op2_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
+    "op3_packing": op3_packing,
+    "op4_neighbours": op4_neighbours,
     "op5_fingerprint": op5_fingerprint,
+    "op6_binary": op6_binary,
     "op7_secrets": op7_secrets,
     "op10_chat": op10_chat,
 }
