@@ -13,6 +13,7 @@ from lumispark.llm.neighbours import op4_neighbours
 from lumispark.llm.packing import op3_packing, op6_binary
 from lumispark.llm.secrets import op7_secrets
 from lumispark.llm.simhash import op2_simhash
+from lumispark.llm.toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_fingerprint": op5_fingerprint,
     "op6_binary": op6_binary,
     "op7_secrets": op7_secrets,
+    "op8_toxicity": op8_toxicity,
     "op10_chat": op10_chat,
 }
 
