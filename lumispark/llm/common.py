@@ -20,17 +20,25 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder, so that a lost executor costs a read and not a recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir. Where that is unset (tests in one JVM) a temporary one is set;
-    on a cluster that would be a folder of the driver alone, so it is refused there.
+    Where that is unset (tests in one JVM) a temporary one is set; on a cluster that would be a folder of the driver
+    alone, so it is refused there.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if given := spark.conf.get("spark.checkpoint.dir", None):
+        return given
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise in the shared folder, so that a lost executor costs a read and not a recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from lumispark.llm.chat import op10_chat
 from lumispark.llm.fingerprint import op5_fingerprint
+from lumispark.llm.lm_scoring import op9_lm_scoring
 from lumispark.llm.mixing import op1_mixing
 from lumispark.llm.neighbours import op4_neighbours
 from lumispark.llm.packing import op3_packing, op6_binary
@@ -24,7 +26,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_binary": op6_binary,
     "op7_secrets": op7_secrets,
     "op8_toxicity": op8_toxicity,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_chat": op10_chat,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {}

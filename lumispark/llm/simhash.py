@@ -13,6 +13,7 @@ from math import ceil, log
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -271,5 +272,18 @@ def _checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, t
     return cut(both.select("a", "b", "sa", "sb").mapInPandas(check, "a string, b string"))
 
 
+def with_hash(docs: DataFrame, text_col: str = "text", to: str = "__same") -> DataFrame:
+    """docs with the hash of their words that ``fingerprints`` gives as ``same``."""
+    schema = T.StructType([*docs.schema, T.StructField(to, T.StringType())])
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            same = [xxhash.xxh3_128_hexdigest(b" ".join(words_of(t.as_py()))) for t in b.column(at)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(same, type=pa.string())], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
