@@ -123,10 +123,11 @@ def adjacent_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     _with(
         SQL_STATUS,
-        """, placed AS (SELECT f.*, n, row_number() OVER w AS place, min(observation_time) OVER p AS t0, avg(magnitude::DOUBLE) OVER p AS mean FROM flat f JOIN (SELECT object_id, light_curve_revision, n FROM checked WHERE cause IS NULL) USING (object_id, light_curve_revision)
+        """, means AS (SELECT object_id, light_curve_revision, (list_reduce(list(magnitude ORDER BY observation_time), lambda a, x: (a + x)::FLOAT)::DOUBLE / count(*))::FLOAT AS mean FROM flat GROUP BY ALL),
+ placed AS (SELECT f.*, n, mean, row_number() OVER w AS place, min(observation_time) OVER p AS t0 FROM flat f JOIN means USING (object_id, light_curve_revision) JOIN (SELECT object_id, light_curve_revision, n FROM checked WHERE cause IS NULL) USING (object_id, light_curve_revision)
   WINDOW p AS (PARTITION BY object_id, light_curve_revision), w AS (PARTITION BY object_id, light_curve_revision ORDER BY observation_time))
-SELECT object_id, light_curve_revision, place::INT AS place, round((observation_time - (floor(t0) - 1))::FLOAT::DOUBLE, 4) AS t, round(magnitude::DOUBLE - mean, 1) AS m, 1.0::DOUBLE AS mask, (CASE WHEN n <= 32 THEN 32 WHEN n <= 64 THEN 64 WHEN n <= 128 THEN 128 WHEN n <= 256 THEN 256 WHEN n <= 512 THEN 512 WHEN n <= 768 THEN 768 ELSE 1024 END)::INT AS length_bucket FROM placed""",
-    ).replace("\n, placed", ", placed")
+SELECT object_id, light_curve_revision, place::INT AS place, round((observation_time - (floor(t0) - 1))::FLOAT::DOUBLE, 4) AS t, round((magnitude - mean)::FLOAT::DOUBLE, 4) AS m, 1.0::DOUBLE AS mask, (CASE WHEN n <= 32 THEN 32 WHEN n <= 64 THEN 64 WHEN n <= 128 THEN 128 WHEN n <= 256 THEN 256 WHEN n <= 512 THEN 512 WHEN n <= 768 THEN 768 ELSE 1024 END)::INT AS length_bucket FROM placed""",
+    ).replace("\n, means", ", means")
 )
 def model_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready, _ = flow.derived_ready(spark, sf_dir)
@@ -134,7 +135,7 @@ def model_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     zipped = F.arrays_zip("normalised_times", "centred_magnitudes", F.slice("mask", F.lit(1), F.col("n").cast("int")).alias("mask"))
     rows = rows.select("object_id", "light_curve_revision", "length_bucket", F.posexplode(zipped).alias("p", "v"))
     return rows.select(
-        "object_id", "light_curve_revision", (F.col("p") + 1).alias("place"), F.round(F.col("v.normalised_times").cast("double"), 4).alias("t"), F.round(F.col("v.centred_magnitudes").cast("double"), 1).alias("m"), F.col("v.mask").cast("double").alias("mask"), "length_bucket"
+        "object_id", "light_curve_revision", (F.col("p") + 1).alias("place"), F.round(F.col("v.normalised_times").cast("double"), 4).alias("t"), F.round(F.col("v.centred_magnitudes").cast("double"), 4).alias("m"), F.col("v.mask").cast("double").alias("mask"), "length_bucket"
     )
 
 
