@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +25,8 @@ from lumispark.llm.common import table
 WEIGHTS = 1 << 18
 #: Code points of texts that are scored at once; words of a lane of the forward-backward recursion.
 SLICE, LANE = 4_000_000, 256
+#: Words of training texts that are taken at once.
+PART = 200_000
 #: Distinct words whose score a worker remembers.
 REMEMBER = 1_000_000
 #: Marks that are taken off the ends of a word.
@@ -111,28 +113,35 @@ class Chain:
         both = alpha * beta
         return both[1] / (both[0] + both[1])
 
-    def fit(self, vocab: np.ndarray, seq: np.ndarray, first: np.ndarray, label: np.ndarray, rounds: int = 60, rate: float = 0.15, ridge: float = 2e-3) -> Chain:
-        """Gradient ascent (Adam) of the conditional likelihood. vocab: features of each distinct word; seq: word numbers."""
+    def fit(self, vocab: np.ndarray, seq: np.ndarray, first: np.ndarray, label: np.ndarray, rounds: int = 40, rate: float = 0.2, ridge: float = 2e-3) -> Chain:
+        """Gradient ascent (Adam) of the conditional likelihood. vocab: features of each distinct word; seq: word numbers.
+        Texts are taken some PART words at a time, so that messages of a part are all that is held."""
         n, flat = len(seq), vocab.ravel()
-        follows = np.flatnonzero(~first)
-        grown = [np.zeros(WEIGHTS), np.zeros((2, 2)), np.zeros(2)]
-        slow, fast = [np.zeros_like(g) for g in grown], [np.zeros_like(g) for g in grown]
-        seen_t = np.zeros((2, 2))
-        np.add.at(seen_t, (label[follows - 1], label[follows]), 1)
-        seen_s = np.bincount(label[first], minlength=2).astype(float)
-        scale = 1 / max(1, label.sum())
+        begins = np.flatnonzero(first)
+        cuts = np.unique(begins[np.searchsorted(begins, np.arange(0, n, PART), side="right") - 1])
+        parts = [slice(a, b) for a, b in zip(cuts, [*cuts[1:], n], strict=True)]
+        shapes = [np.zeros(WEIGHTS), np.zeros((2, 2)), np.zeros(2)]
+        slow, fast = [np.zeros_like(g) for g in shapes], [np.zeros_like(g) for g in shapes]
+        scale = 1 / max(1, int(label.sum()))
         for r in range(1, rounds + 1):
-            emission = self.weights[vocab].sum(axis=1)[seq]
-            alpha, beta, step = self.messages(emission, first)
-            both = alpha * beta
-            p = both[1] / (both[0] + both[1])
-            by_word = np.bincount(seq, weights=label - p, minlength=len(vocab))
-            pair = np.array([[alpha[i][follows - 1] * step[i][j][follows] * beta[j][follows] for j in (0, 1)] for i in (0, 1)])
-            pair = (pair / pair.sum(axis=(0, 1))).sum(axis=2)
+            by_word, pair, start = np.zeros(len(vocab)), np.zeros((2, 2)), np.zeros(2)
+            scores = self.weights[vocab].sum(axis=1)
+            for part in parts:
+                own, begin, want = seq[part], first[part], label[part]
+                alpha, beta, step = self.messages(scores[own], begin)
+                both = alpha * beta
+                p = both[1] / (both[0] + both[1])
+                by_word += np.bincount(own, weights=want - p, minlength=len(vocab))
+                follows = np.flatnonzero(~begin)
+                seen = np.zeros((2, 2))
+                np.add.at(seen, (want[follows - 1], want[follows]), 1)
+                expected = np.array([[alpha[i][follows - 1] * step[i][j][follows] * beta[j][follows] for j in (0, 1)] for i in (0, 1)])
+                pair += seen - (expected / expected.sum(axis=(0, 1))).sum(axis=2)
+                start += np.array([(want[begin] == 0).sum() - (1 - p[begin]).sum(), want[begin].sum() - p[begin].sum()])
             grads = [
                 np.bincount(flat, weights=np.repeat(by_word, vocab.shape[1]), minlength=WEIGHTS) * scale - ridge * self.weights,
-                (seen_t - pair) / n,
-                (seen_s - np.array([(1 - p[first]).sum(), p[first].sum()])) / max(1, first.sum()),
+                pair / n,
+                start / max(1, len(begins)),
             ]
             for k, (g, at) in enumerate(zip(grads, (self.weights, self.transition, self.start), strict=True)):
                 slow[k] = 0.9 * slow[k] + 0.1 * g
@@ -207,20 +216,23 @@ def _regress(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     return beta
 
 
-def _telling(docs: list[list[str]], y: np.ndarray) -> set[str]:
+def _telling(docs: list[np.ndarray], names: list[str], y: np.ndarray) -> set[str]:
     """Units in significantly more toxic documents than chance has it, over all units that were looked at (Chernoff bound)."""
-    have: dict[str, list[int]] = {}
-    for words, t in zip(docs, y.tolist(), strict=True):
-        for u in {u for w in set(words) if w for u in units(w)}:
-            have.setdefault(u, [0, 0])[t] += 1
+    every: Counter[str] = Counter()
+    toxic: Counter[str] = Counter()
+    for ids, t in zip(docs, y.tolist(), strict=True):
+        own = {u for i in np.unique(ids).tolist() if names[i] for u in units(names[i])}
+        every.update(own)
+        if t:
+            toxic.update(own)
     prior, found = min(0.5, max(1e-3, float(y.mean()))), set()
-    for u, (neg, pos) in have.items():
-        n = neg + pos
+    for u, pos in toxic.items():
+        n = every[u]
         share = pos / n
         if pos < 3 or share < max(0.6, 2 * prior):
             continue
-        gain = pos * np.log(share / prior) + (neg * np.log((1 - share) / (1 - prior)) if neg else 0)
-        if gain > np.log(len(have)):
+        gain = pos * np.log(share / prior) + ((n - pos) * np.log((1 - share) / (1 - prior)) if n > pos else 0)
+        if gain > np.log(len(every)):
             found.add(u)
     return found
 
@@ -228,28 +240,28 @@ def _telling(docs: list[list[str]], y: np.ndarray) -> set[str]:
 def fit(texts: list[str | None], toxic: np.ndarray) -> Scorer:
     """Chain from the first three of each four documents, regression from the fourth, then the chain stays as it is.
     Without a document of either label the score is the share of toxic ones."""
-    docs = [words_of(t) for t in texts]
     y = np.asarray(toxic, dtype=np.int64)
-    learn = np.arange(len(docs)) % 4 != 3
-    if len(docs) < 8 or y.min() == y.max():
+    learn = np.arange(len(texts)) % 4 != 3
+    if len(texts) < 8 or y.min() == y.max():
         rate = np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3)
         return Scorer(Chain(), np.array([np.log(rate / (1 - rate)), 0, 0, 0, 0]))
-    own = [d for d, k in zip(docs, learn, strict=True) if k]
-    telling = _telling(own, y[learn])
     number: dict[str, int] = {}
-    seq = np.array([number.setdefault(w, len(number)) for d in own for w in d], dtype=np.int64)
+    own = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], dtype=np.int32) for t, k in zip(texts, learn, strict=True) if k]
     names = list(number)
-    counts = [len(d) for d in own]
-    label = np.zeros(0, dtype=np.int64)
-    chain = Chain()
-    if len(seq):
+    del number
+    chain, counts = Chain(), [len(d) for d in own]
+    if names:
+        telling = _telling(own, names, y[learn])
         hit = np.array([any(u in telling for u in units(w)) if w else False for w in names])
-        label = (hit[seq] & np.repeat(y[learn].astype(bool), counts)).astype(np.int64)
+        seq = np.concatenate(own)
+        label = (hit[seq] & np.repeat(y[learn].astype(bool), counts)).astype(np.int8)
         if label.any():
-            chain.fit(np.array([features(w) for w in names]), seq, _begins(counts), label)
+            chain.fit(np.array([features(w) for w in names], dtype=np.int32), seq, _begins(counts), label)
     scorer = Scorer(chain, np.zeros(5))
-    p, sizes = scorer.tagged([t for t, k in zip(texts, learn, strict=True) if not k])
-    scorer.betas = _regress(summary(p, sizes), y[~learn].astype(float))
+    rest = [t for t, k in zip(texts, learn, strict=True) if not k]
+    parts = [scorer.tagged([t]) for t in rest]  # one at a time: little memory
+    seen = np.concatenate([summary(p, sizes) for p, sizes in parts])
+    scorer.betas = _regress(seen, y[~learn].astype(float))
     scorer.known = {}
     return scorer
 
@@ -277,7 +289,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return [r["t"] for r in got], np.array([r[label_col] for r in got], dtype=np.int64)
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 12_000, most_chars: int = 24_000_000) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 12_000, most_chars: int = 12_000_000) -> DataFrame:
     """docs with ``score`` (0 to 1) and ``toxic_spans``, (start, end) in code points of the words that are likelier toxic than not.
 
     The model is fitted on the driver from a bounded sample, ``most`` rows and ``most_chars`` code points, of labels that
@@ -301,7 +313,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     p, counts = scorer.tagged(held)
                     scored.append(scorer.scores(p, counts))
                     edges = np.concatenate(([0], np.cumsum(counts)))
-                    bad = np.flatnonzero(p >= 0.5)
+                    bad = np.flatnonzero(p > 0.5)
                     by_text = np.split(bad, np.searchsorted(bad, edges[1:-1]))
                     for text, at, hits in zip(held, edges[:-1].tolist(), by_text, strict=True):
                         wanted = set((hits - at).tolist())
