@@ -162,9 +162,7 @@ class Capacities:
     """Bins by the room that is left in them: a segment tree over room 0..capacity finds the least room that suffices."""
 
     def __init__(self, capacity: int):
-        self.leaves = 1 << (capacity + 1 - 1).bit_length() if capacity else 1
-        while self.leaves < capacity + 1:
-            self.leaves *= 2
+        self.leaves = 1 << capacity.bit_length()
         self.count = [0] * (2 * self.leaves)
         self.bins: list[list[int]] = [[] for _ in range(capacity + 1)]
 
@@ -236,35 +234,56 @@ def pack_best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = TaskContext.get().partitionId() * PER_TASK
-        pieces: list[tuple] = []
+        # pieces: (document, start, ids); a document's last piece is what best-fit has to place, the others fill a sequence
+        whole: list[tuple] = []
+        rest: list[tuple] = []
 
         def flush(kind: pa.DataType) -> pa.RecordBatch:
-            nonlocal made, pieces
-            out: list[list] = [[] for _ in schema.names]
-            for bin_ in best_fit([len(p[2]) for p in pieces], capacity):
-                own = [pieces[i] for i in bin_]
-                row = np.full(capacity, pad, dtype="<u4")
-                edges = [0, *np.cumsum([len(p[2]) for p in own]).tolist()]
-                row[: edges[-1]] = np.concatenate([p[2] for p in own])
-                for column, value in zip(out, (made, edges[-1], row.tobytes(), edges, edges[:-1], [p[0] for p in own], [p[1] for p in own]), strict=True):
-                    column.append(value)
-                made += 1
-            pieces = []
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(kind), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(out, kinds, strict=True)], names=schema.names)
+            nonlocal made, whole, rest
+            bins = [[p] for p in whole] + [[rest[i] for i in b] for b in best_fit([len(p[2]) for p in rest], capacity)]
+            flat = [p for b in bins for p in b]
+            many = np.array([len(b) for b in bins])
+            sizes = np.array([len(p[2]) for p in flat], dtype=np.int64)
+            # where each piece goes in a matrix of len(bins) x capacity: behind the pieces before it in its row
+            row = np.repeat(np.arange(len(bins)), many)
+            before = np.cumsum(sizes) - sizes
+            head = np.cumsum(many) - many
+            offset = before - before[head][row]
+            ids = np.concatenate([p[2] for p in flat])
+            matrix = np.full(len(bins) * capacity, pad, dtype="<u4")
+            matrix[np.repeat(row * capacity + offset - before, sizes) + np.arange(len(ids))] = ids
+            used = np.add.reduceat(sizes, head)
+            ends = np.concatenate(([0], np.cumsum(many))).astype(np.int32)
+            spans = np.arange(len(bins) + 1, dtype=np.int32) * capacity * 4
+            cu = np.insert(offset, np.cumsum(many), used)
+            lists = lambda values, at: pa.ListArray.from_arrays(pa.array(at), values)
+            columns = [
+                pa.array(np.arange(made, made + len(bins), dtype=np.int64)),
+                pa.array(used),
+                pa.Array.from_buffers(pa.binary(), len(bins), [None, pa.py_buffer(spans), pa.py_buffer(matrix)]),
+                lists(pa.array(cu.astype(np.int32)), ends + np.arange(len(bins) + 1, dtype=np.int32)),
+                lists(pa.array(offset.astype(np.int32)), ends),
+                lists(pa.array([p[0] for p in flat], type=kind), ends),
+                lists(pa.array([p[1] for p in flat], type=pa.int64()), ends),
+            ]
+            made += len(bins)
+            whole, rest = [], []
+            return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
         held, kind = 0, pa.int64()
         for batch in batches:
             kind = batch.schema.field(id_col).type
             named = batch.column(batch.schema.get_field_index(id_col)).to_pylist()
             for row, ids in _tokenised(batch, text_col, path, eos):
-                for start in range(0, len(ids), capacity):
-                    pieces.append((named[row], start, ids[start : start + capacity]))
-                held += len(ids)
+                n, full = len(ids), len(ids) // capacity * capacity
+                whole += [(named[row], start, ids[start : start + capacity]) for start in range(0, full, capacity)]
+                if full < n:
+                    rest.append((named[row], full, ids[full:]))
+                held += n
                 if held >= WINDOW:
                     yield flush(kind)
                     held = 0
-        if pieces:
+        if whole or rest:
             yield flush(kind)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
