@@ -95,8 +95,8 @@ def fingerprints(docs: DataFrame, key_cols: list[str], text_col: str = "text", k
     return keep.mapInPandas(run, schema)
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """A spanning forest (node, smallest node of its part) of links a-b among n nodes, by vectorised minimum labels."""
+def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (nodes, smallest node of the part of each) of links a-b among n nodes, by vectorised minimum labels."""
     label = np.arange(n)
     while True:
         low = np.minimum(label[a], label[b])
@@ -110,7 +110,7 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
             break
         label = new
     moved = np.flatnonzero(label != np.arange(n))
-    return list(zip(moved.tolist(), label[moved].tolist(), strict=True))
+    return moved, label[moved]
 
 
 def _near(fa: np.ndarray, fb: np.ndarray, radius: int, upper: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -167,34 +167,42 @@ def near_pairs(nodes: DataFrame, radius: int, parts: int = 4, width: int = 1, ra
     both = pairs.join(tiles.select(F.col("id").alias("ia"), F.col("rows").alias("ra")), "ia").join(tiles.select(F.col("id").alias("ib"), F.col("rows").alias("rb")), "ib")
     both = both.select((F.col("ia") == F.col("ib")).alias("same"), "ra", F.when(F.col("ia") != F.col("ib"), F.col("rb")).alias("rb"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = nodes.schema["node"].dataType
+
+    def columns(tile: pa.StructArray) -> tuple:
+        """(names, fingerprints as a matrix of words, sizes, groups) of a tile, without an object for each node."""
+        node, fp, n, grp = tile.flatten()
+        return node, fp.flatten().to_numpy().view(np.uint64).reshape(len(tile), -1), n.to_numpy(), grp
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for same, ra, rb in zip(batch["same"], batch["ra"], batch["rb"], strict=True):
-                a, b = (list(ra), list(ra if same else rb))
-                fa, fb = (np.array([list(r["fp"]) for r in x], dtype=np.int64).view(np.uint64) for x in (a, b))
-                names = [r["node"] for r in a] + ([] if same else [r["node"] for r in b])
-                shift = 0 if same else len(a)
-                out: list[tuple] = []
+            for i in range(batch.num_rows):
+                same = batch.column(0)[i].as_py()
+                na, fa, sa, ga = columns(batch.column(1)[i].values)
+                nb, fb, sb, gb = (na, fa, sa, ga) if same else columns(batch.column(2)[i].values)
+                names, shift = (na, 0) if same else (pa.concat_arrays([na, nb]), len(na))
+                code = pa.concat_arrays([ga, gb]).dictionary_encode().indices.to_numpy(zero_copy_only=False) if groups else None
                 xs, ys = [], []
                 for x, y in _near(fa, fb, radius, same):
                     if ratio:
-                        na, nb = (np.array([r["n"] for r in z])[i] for z, i in ((a, x), (b, y)))
-                        ok = np.minimum(na, nb) >= ratio * np.maximum(na, nb)
+                        ok = np.minimum(sa[x], sb[y]) >= ratio * np.maximum(sa[x], sb[y])
                         x, y = x[ok], y[ok]
                     if groups:
-                        ok = np.array([a[i]["grp"] != b[j]["grp"] for i, j in zip(x, y, strict=True)], dtype=bool)
-                        out += [(names[i], names[j + shift]) for i, j in zip(x[ok], y[ok], strict=True)]
+                        ok = code[x] != code[len(na) + y]
+                        x, y = x[ok], y[ok]
                     elif len(x):
-                        done = _forest(x, y + shift, len(names))  # at most a link for each node from each stripe
-                        xs += [i for i, _ in done]
-                        ys += [j for _, j in done]
-                if xs:
-                    out = [(names[i], names[j]) for i, j in _forest(np.array(xs), np.array(ys), len(names))]
-                if out:
-                    yield pd.DataFrame(out, columns=["a", "b"])
-
-    kind = nodes.schema["node"].dataType
-    return both.mapInPandas(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+                        x, y = _forest(x, y + shift, len(names))  # at most a link for each node from each stripe
+                        y = y - shift
+                    xs.append(x)
+                    ys.append(y)
+                if not xs:
+                    continue
+                x, y = np.concatenate(xs), np.concatenate(ys) + shift
+                if not groups:
+                    x, y = _forest(x, y, len(names))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(x)), names.take(pa.array(y))], names=["a", "b"])
+
+    return both.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, radius: int = 2) -> DataFrame:
