@@ -8,6 +8,7 @@ regression on labelled documents that the chain has not seen, a score for each d
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -270,34 +271,42 @@ def held_out(id_col: Column) -> Column:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(5)) == 0
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int, most_chars: int) -> tuple[list, np.ndarray]:
-    """At most ``most`` labelled documents of those not held out, by least id hash; whole texts, of ``most_chars`` in sum at
-    most: longer sums leave out the documents of largest hash. So the driver's share is bounded at every size."""
-    known = labels.where(~held_out(F.col(id_col)) & F.col(label_col).isin(0, 1)).select(id_col, label_col).dropDuplicates([id_col])
-    chosen = known.withColumn("h", F.xxhash64(id_col, F.lit("sample"))).orderBy("h", id_col).limit(most)
-    rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(chosen), id_col)
-    sizes = rows.select("h", id_col, F.length("t").alias("n")).collect()
+def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int, most_chars: int) -> DataFrame:
+    """(h, id, t, y): at most ``most`` labelled documents of those not held out, by least id hash; whole texts, of
+    ``most_chars`` in sum at most: longer sums leave out the documents of largest hash. So it is bounded at every size."""
+    known = labels.where(~held_out(F.col(id_col)) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropDuplicates(["id"])
+    chosen = known.withColumn("h", F.xxhash64("id", F.lit("sample"))).orderBy("h", "id").limit(most)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(chosen), "id")
     total, edge = 0, None
-    for r in sorted(sizes, key=lambda r: (r["h"], r[id_col])):
+    for r in sorted(rows.select("h", F.length("t").alias("n")).collect()):
         total += r["n"]
         if total > most_chars:
             break
         edge = r["h"]
-    if edge is None:
-        return [], np.zeros(0, dtype=np.int64)
-    got = sorted(rows.where(F.col("h") <= edge).select("h", id_col, "t", label_col).collect(), key=lambda r: (r["h"], r[id_col], r["t"]))
-    return [r["t"] for r in got], np.array([r[label_col] for r in got], dtype=np.int64)
+    return rows.where(F.col("h") <= F.lit(edge).cast("long")).select("h", F.col("id").cast("string").alias("id"), "t", "y")
+
+
+def trained(sample: DataFrame) -> Scorer:
+    """The scorer fitted from a bounded sample in one task; only the model comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r["h"], r["id"], r["t"], r["y"]) for b in batches for r in b.to_pylist())
+        model = pickle.dumps(fit([r[2] for r in rows], np.array([r[3] for r in rows], dtype=np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array([model], type=pa.binary())], names=["model"])
+
+    got = sample.coalesce(1).mapInArrow(run, "model binary").first()  # no row: an empty sample may have no task
+    return pickle.loads(got["model"]) if got else fit([], np.zeros(0, dtype=np.int64))
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 12_000, most_chars: int = 12_000_000) -> DataFrame:
     """docs with ``score`` (0 to 1) and ``toxic_spans``, (start, end) in code points of the words that are likelier toxic than not.
 
-    The model is fitted on the driver from a bounded sample, ``most`` rows and ``most_chars`` code points, of labels that
+    The model is fitted in one task from a bounded sample, ``most`` rows and ``most_chars`` code points, of labels that
     are not held out (crc32 of the id as text, modulo 5, is not 0). Scores depend on the text alone. Every text is scored
     over its whole length; null and empty ones get the score of a text without words. Columns named like the added ones
     are replaced, others stay. Repeated rows are scored alike. Without usable labels the score is constant.
     """
-    scorer = fit(*training_sample(docs, labels, id_col, text_col, label_col, most, most_chars))
+    scorer = trained(training_sample(docs, labels, id_col, text_col, label_col, most, most_chars))
     docs = docs.drop("score", "toxic_spans")
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     schema = T.StructType([*docs.schema, T.StructField("score", T.DoubleType()), T.StructField("toxic_spans", span)])
