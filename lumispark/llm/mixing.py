@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lumispark.llm.common import cut, table, word_count
 
 #: Words of a block; slots that one task makes at once; documents that are put in order at once.
-BLOCK, CHUNK, ORDERED = 64, 1 << 16, 4096
+BLOCK, CHUNK, ORDERED = 64, 1 << 16, 512
 #: Points are multiples of 2^31 / golden ratio, modulo 2^31: whole numbers, so that reruns agree.
 PERIOD, GOLDEN = 1 << 31, 1_327_217_885
 #: Sources up to which their table is broadcast; beyond it is joined by shuffles.
@@ -35,7 +35,7 @@ def targets(sizes: list[int], most: float = 3.0) -> list[float]:
         unit = left / sum(weight[i] for i in free)
         over = {i for i in free if unit * weight[i] > most * sizes[i]}
         for i in over or free:
-            got[i] = most * sizes[i] if over else unit * weight[i]
+            got[i] = float(most * sizes[i]) if over else unit * weight[i]
         left -= sum(got[i] for i in over)
         free = free - over if over else set()
     return got
