@@ -19,7 +19,7 @@ from lumispark.llm.common import table
 from lumispark.llm.tokens import default_path, encoder
 
 #: Code points of texts that are tokenised at once.
-SLICE = 4_000_000
+SLICE = 500_000
 #: Sequences of one task have ids from this many times its number.
 PER_TASK = 1 << 33
 #: Token ids that are packed best-fit-decreasing at once.

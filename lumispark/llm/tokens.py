@@ -7,6 +7,7 @@ words, one after the other. Words repeat; each distinct one is encoded once in a
 from __future__ import annotations
 
 import os
+from itertools import repeat
 
 import numpy as np
 
@@ -69,9 +70,11 @@ class WordEncoder:
             w = t.encode("utf-8").split() if t else []
             counts[i] = len(w)
             words += w
-        if new := [w for w in set(words) if w not in self.place]:
-            self._learn(sorted(new))
-        at = np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        if len(unknown := np.flatnonzero(at < 0)):
+            new = [words[i] for i in unknown.tolist()]
+            self._learn(sorted(set(new)))
+            at[unknown] = list(map(self.place.__getitem__, new))
         size = self.size[at]
         ends = np.cumsum(size)
         ids = self.pool[np.repeat(self.start[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
