@@ -23,7 +23,7 @@ SLICE = 500_000
 #: Sequences of one task have ids from this many times its number.
 PER_TASK = 1 << 33
 #: Token ids that are packed best-fit-decreasing at once.
-WINDOW = 1 << 21
+WINDOW = 1 << 19
 
 
 def _tokenised(batch: pa.RecordBatch, text_col: str, path: str, eos: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -249,9 +249,9 @@ def pack_best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             before = np.cumsum(sizes) - sizes
             head = np.cumsum(many) - many
             offset = before - before[head][row]
-            ids = np.concatenate([p[2] for p in flat])
             matrix = np.full(len(bins) * capacity, pad, dtype="<u4")
-            matrix[np.repeat(row * capacity + offset - before, sizes) + np.arange(len(ids))] = ids
+            for p, at in zip(flat, (row * capacity + offset).tolist(), strict=True):
+                matrix[at : at + len(p[2])] = p[2]
             used = np.add.reduceat(sizes, head)
             ends = np.concatenate(([0], np.cumsum(many))).astype(np.int32)
             spans = np.arange(len(bins) + 1, dtype=np.int32) * capacity * 4
