@@ -26,8 +26,8 @@ SEED = 42
 TILE = 8192
 #: Second seed of fingerprints of 128 bits.
 SEED_2 = 43
-#: Rows of one tile that are compared with the other tile at once: 512 x 8192 distances are 4 MB.
-STRIPE = 512
+#: Rows of one tile that are compared with the other tile at once: 128 x 8192 words are 8 MB.
+STRIPE = 128
 
 
 def words_of(text: str | None) -> list[bytes]:
