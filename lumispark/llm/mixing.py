@@ -135,9 +135,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 def take(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The mixed documents: a row for each pass in which a document is taken, its text cut to the words that are taken.
 
-    Whole texts stay as they are; the few that a source's last block cuts keep their first words, space-joined."""
+    Whole texts stay as they are; the few that a source's last block cuts keep their first words, space-joined. Rows are
+    numbered once, in a materialised table: numbers made anew by another job depend on how files are split there."""
     docs = docs.withColumn("__row", F.monotonically_increasing_id())
-    docs = docs.withColumn("__words", word_count(F.col(text_col)))
+    docs = cut(docs.withColumn("__words", word_count(F.col(text_col))))
     rows, placed = mix(docs, "__row", source_col, text_col)
     parts = placed.groupBy("row", "pass").agg(F.sum("length").alias("__n"), F.min("start").alias("__from"))
     parts = parts.join(rows.select("row", "__row"), "row").drop("row")

@@ -92,6 +92,25 @@ def test_mixing_takes_texts_and_nothing_of_an_empty_table(spark, tmp_path, empty
     assert rows.count() == 0 and placed.count() == 0
 
 
+def test_mixing_takes_the_same_texts_where_files_are_split_anew(spark, tmp_path, monkeypatch):
+    sf = write(spark, tmp_path, documents=documents(spark, [(i, " ".join(f"d{i}w{j}" for j in range(1 + i * 7 % 200)), "xyz"[i % 3]) for i in range(300)]).repartition(16))
+    key, docs = "spark.sql.files.openCostInBytes", spark.read.parquet(f"{sf}/documents.parquet")
+    mix, before = mixing.mix, spark.conf.get(key)
+
+    def then_split_anew(*args):
+        out = mix(*args)
+        spark.conf.set(key, str(128 << 20))
+        return out
+
+    spark.conf.set(key, "1")
+    try:
+        want = sorted(map(str, mixing.take(docs).collect()))
+        monkeypatch.setattr(mixing, "mix", then_split_anew)
+        assert sorted(map(str, mixing.take(docs).collect())) == want
+    finally:
+        spark.conf.set(key, before)
+
+
 # ---- SimHash
 
 
