@@ -23,11 +23,12 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def object_of(user: Column) -> Column:
-    return F.concat(F.lit("OBJ-"), F.lpad(user.cast("string"), 6, "0"))
+    digits = user.cast("string")  # six at least; lpad would cut longer ones
+    return F.concat(F.lit("OBJ-"), F.lpad(digits, F.greatest(F.lit(6), F.length(digits)), F.lit("0")))
 
 
 def user_of(object_id: Column) -> Column:
-    return F.substring(object_id, 5, 6).cast("int")
+    return F.substr(object_id, F.lit(5)).cast("int")
 
 
 def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,13 +43,19 @@ def _arrive(rows: DataFrame, name: str, files: int = 3) -> tuple[DataFrame, str]
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder
 
 
-def stream_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of commands and dead letters that the candidate stream has written."""
+def candidate_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The commands and the dead letters that the candidate stream has written."""
     _, folder = _arrive(derive.candidate_envelopes(spark, sf_dir), "candidates")
     stream = read_envelope_files(spark, f"{folder}/in")
     pipelines.candidate_stream(stream, derive.CANDIDATES, derive.BUNDLE, derive.COMMANDS, "candidates-dlq", f"{folder}/out", f"{folder}/state").awaitTermination()
-    count = lambda kind, name: spark.read.parquet(f"{folder}/out/{name}").agg(F.count("*").alias("rows")).select(F.lit(kind).alias("kind"), "rows")
-    return count("command", "commands").unionByName(count("dead_letter", "dead_letters"))
+    return spark.read.parquet(f"{folder}/out/commands"), spark.read.parquet(f"{folder}/out/dead_letters")
+
+
+def stream_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of commands and dead letters that the candidate stream has written."""
+    commands, dead = candidate_rows(spark, sf_dir)
+    count = lambda kind, rows: rows.agg(F.count("*").alias("rows")).select(F.lit(kind).alias("kind"), "rows")
+    return count("command", commands).unionByName(count("dead_letter", dead))
 
 
 def stream_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +75,7 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = derive.events(spark, sf_dir).where("event_type = 'error'").select(F.col("ts").cast("timestamp").alias("ts"), F.lit("all").alias("service"), F.lit("error").alias("reason"), F.lit(1.0).alias("increase"))
     end = events.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("interval 60 days")).alias("ts"), F.lit("all").alias("service"), F.lit("end").alias("reason"), F.lit(0.0).alias("increase"))
     folder = own_folder(spark, "alerts")
-    events.coalesce(1).write.parquet(f"{folder}/in")
+    events.write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
     alerts = pipelines.windowed_alerts(stream, "1 hour", "1 hour", "10 minutes", 0.0)
     for part in (events, end):

@@ -224,3 +224,12 @@ def test_quantile_and_alerts(spark):
     assert got == {"a": 1.5, "b": None}
     inc = spark.createDataFrame([("s", i, v) for i, v in enumerate((5.0, 8.0, 3.0, 4.0))], "s string, ts long, value double")
     assert [r["increase"] for r in operations.increases(inc, ["s"]).orderBy("ts").collect()] == [0.0, 3.0, 3.0, 1.0]
+
+
+def test_object_ids_of_seven_digits_stay_apart(spark):
+    from lumispark.plans import derive
+
+    users = [0, 7, 100_000, 999_999, 1_000_000, 1_000_001, 12_345_678]
+    rows = spark.createDataFrame([(u,) for u in users], "user_id int").withColumn("object_id", derive.object_of(F.col("user_id")))
+    got = {r["user_id"]: (r["object_id"], r["back"]) for r in rows.withColumn("back", derive.user_of(F.col("object_id"))).collect()}
+    assert got == {u: (f"OBJ-{u:06d}", u) for u in users}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -41,3 +42,22 @@ def test_every_oracle_has_a_query():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_candidate_stream_writes_the_rows_of_the_sql(spark):
+    import duckdb
+
+    from lumispark.plans import derive, stream_twins
+    from lumispark.sources.messages import header
+
+    con = duckdb.connect()
+    path = f"{DIR}/events.parquet"
+    con.execute("SET timezone='UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
+    commands, dead = stream_twins.candidate_rows(spark, DIR)
+    got = sorted(tuple(r) for r in commands.select("job_id", "object_id", "light_curve_revision").collect())
+    want = con.execute(f"WITH {derive.SQL_COMMANDS} SELECT job_id, object_id, light_curve_revision FROM cmd").fetchall()
+    assert got and got == sorted(want)
+    got = sorted(tuple(r) for r in dead.select(header("original-partition").cast("int"), header("original-offset").cast("long"), F.col("key").cast("string")).collect())
+    want = con.execute(f'WITH {derive.SQL_COMMANDS} SELECT "partition", "offset", key FROM judged WHERE error_code IS NOT NULL').fetchall()
+    assert got and got == sorted(want)
