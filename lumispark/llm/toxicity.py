@@ -273,17 +273,22 @@ def held_out(id_col: Column) -> Column:
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int, most_chars: int) -> DataFrame:
     """(h, id, t, y): at most ``most`` labelled documents of those not held out, by least id hash; whole texts, of
-    ``most_chars`` in sum at most: longer sums leave out the documents of largest hash. So it is bounded at every size."""
+    ``most_chars`` in sum at most: a document that does not fit in what is left is passed over. So it is bounded at every
+    size. An id is there once, of repeated rows the shortest text. Labels without a document to learn from are an error."""
     known = labels.where(~held_out(F.col(id_col)) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropDuplicates(["id"])
     chosen = known.withColumn("h", F.xxhash64("id", F.lit("sample"))).orderBy("h", "id").limit(most)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(chosen), "id")
-    total, edge = 0, None
-    for r in sorted(rows.select("h", F.length("t").alias("n")).collect()):
-        total += r["n"]
-        if total > most_chars:
-            break
-        edge = r["h"]
-    return rows.where(F.col("h") <= F.lit(edge).cast("long")).select("h", F.col("id").cast("string").alias("id"), "t", "y")
+    rows = rows.withColumn("n", F.length("t")).withColumn("same", F.xxhash64("t"))
+    left, taken = most_chars, []
+    for r in sorted(rows.groupBy("h", "id").agg(F.min(F.struct("n", "same")).alias("least")).collect()):
+        if r["least"]["n"] <= left:
+            left -= r["least"]["n"]
+            taken.append((r["id"], *r["least"]))
+    if not taken and not chosen.isEmpty() and not docs.isEmpty():
+        raise ValueError(f"labels are there, but no labelled document of at most {most_chars} code points to learn from")
+    names = docs.sparkSession.createDataFrame(taken, T.StructType([rows.schema[c] for c in ("id", "n", "same")]))
+    own = rows.join(F.broadcast(names), ["id", "n", "same"]).dropDuplicates(["id"])
+    return own.select("h", F.col("id").cast("string").alias("id"), "t", "y")
 
 
 def trained(sample: DataFrame) -> Scorer:
@@ -304,7 +309,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     The model is fitted in one task from a bounded sample, ``most`` rows and ``most_chars`` code points, of labels that
     are not held out (crc32 of the id as text, modulo 5, is not 0). Scores depend on the text alone. Every text is scored
     over its whole length; null and empty ones get the score of a text without words. Columns named like the added ones
-    are replaced, others stay. Repeated rows are scored alike. Without usable labels the score is constant.
+    are replaced, others stay. Repeated rows are scored alike. Without usable labels the score is constant; with labels but
+    without a document to learn from it is an error.
     """
     scorer = trained(training_sample(docs, labels, id_col, text_col, label_col, most, most_chars))
     docs = docs.drop("score", "toxic_spans")

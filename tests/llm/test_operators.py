@@ -399,6 +399,20 @@ def test_toxicity_on_held_out_documents(spark, tmp_path):
     assert {spans["text"][s["start"] : s["end"]].strip("!,")[:4] for s in spans["toxic_spans"]} <= {"Vile", "rott", "grim"} and spans["toxic_spans"]
 
 
+def test_a_very_long_labelled_document_leaves_the_others_in_the_sample(spark):
+    docs, labels = toxic_corpus(spark, 200)
+    first = toxicity.training_sample(docs, labels, "doc_id", "text", "toxic", 12_000, 12_000_000).orderBy("h").first()["id"]
+    longest = F.when(F.col("doc_id") == int(first), F.repeat(F.lit("w1 "), 4_000_001)).otherwise(F.col("text"))
+    docs = docs.withColumn("text", longest).unionByName(docs.where("doc_id between 1 and 9 and doc_id <> " + first))
+    sample = [r["id"] for r in toxicity.training_sample(docs, labels, "doc_id", "text", "toxic", 12_000, 12_000_000).select("id").collect()]
+    known = {str(i) for i in range(200) if zlib.crc32(str(i).encode()) % 5}
+    assert sorted(sample) == sorted(known - {first})
+    scored = {r["doc_id"]: r["score"] for r in toxicity.score(docs, labels).where("doc_id < 200").select("doc_id", "score").collect()}
+    assert sum(scored[i] >= 0.5 for i in range(0, 200, 5) if str(i) != first) >= 36
+    with pytest.raises(ValueError):
+        toxicity.score(docs, labels, most_chars=10)
+
+
 def test_chain_marginals_equal_brute_force():
     from itertools import product
 
