@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import zlib
 from collections import defaultdict
@@ -286,6 +287,33 @@ def test_neighbours(spark):
     assert neighbours.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def recall_at_5(spark, x, asked):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.search(df, df.where(F.col("vec_id").isin(asked))).toPandas()
+    unit, hit = x / np.linalg.norm(x, axis=1, keepdims=True), 0
+    for q, g in got.groupby("query_id"):
+        score = unit @ unit[q]
+        score[q] = -2
+        hit += len({*np.argsort(-score)[:5].tolist()} & {*g["vec_id"]})
+    return hit / (5 * len(asked))
+
+
+@pytest.mark.parametrize("given", [False, True])
+def test_recall_with_and_without_a_third_of_near_copies(spark, given):
+    rng, path = np.random.default_rng(5), "/root/testdata/sf0.1/embeddings.parquet"
+    if given:
+        if not os.path.exists(path):
+            pytest.skip("no test tables")
+        x = np.array([r[0] for r in spark.read.parquet(path).select("embedding").orderBy("vec_id").collect()], dtype=float)
+    else:
+        x = rng.normal(size=(2000, 64))
+    assert recall_at_5(spark, x, list(range(60))) >= 0.9
+    for noise in (0.03, 0.1):
+        y = np.concatenate((x, x[0] + rng.normal(size=(len(x) // 2, 64)) * noise * x.std()))
+        assert recall_at_5(spark, y, list(range(1, 61))) >= 0.9
+        assert recall_at_5(spark, y, list(range(len(x), len(x) + 60))) >= 0.9
+
+
 # ---- fingerprints
 
 
