@@ -6,6 +6,7 @@ subtracting its own vector. Three groups of lanes:
 
 - paragraph lanes: a paragraph (a line, without white space at its ends) adds to one of them, modulo 2^8;
 - run lanes: the same for each run of up to 8 words within a line, so that texts of few paragraphs can be likened too;
+  both have levels, each with an eighth of the hashes of the one before, so that long texts can be likened as well;
 - whole lanes: every paragraph adds to each of them, modulo 2^32; 128 bits in which unequal multisets agree by accident
   only, which is what equality rests on.
 """
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 
 from lumispark.llm.common import cut, table
 
-LANES = 128  # of paragraphs, and as many of runs
+LANES = 128  # of a level of paragraphs, and as many of one of runs
+LEVELS, SPARSER = 7, 3  # level j holds the hashes whose SPARSER * j bits from bit 16 on are all zero: one in 8^j
+FULL = LANES // 2  # lanes of a level in use beyond which it is saturated
 OUTER, INNER = 16, 8  # LANES, split so that a hash is looked at OUTER + INNER times and not LANES times
 #: Up to 8 words of one line with the white space between them.
 RUN = r"[^\x20\x09-\x0D]+(?:[\x20\x09\x0B-\x0D]+[^\x20\x09-\x0D]+){0,7}"
@@ -48,6 +51,14 @@ def _lanes(hashes: Column) -> Column:
     return F.flatten(F.transform(coarse, fine))
 
 
+def _levels(hashes: Column) -> Column:
+    """The lanes of all levels, end to end; a level without hashes is not looked at."""
+    masks = F.array(*(F.lit(((1 << (SPARSER * j)) - 1) << 16).cast("long") for j in range(LEVELS)))
+    empty = F.array_repeat(F.lit(-128).cast("tinyint"), LANES)
+    level = lambda sub: F.when(F.size(sub) == 0, empty).otherwise(_lanes(sub))
+    return F.flatten(F.transform(masks, lambda m: _let(F.filter(hashes, lambda h: h.bitwiseAND(m) == 0), level)))
+
+
 def vector(text: Column) -> Column:
     """The vector of a text: (paragraphs, runs: array<tinyint>, whole: array<bigint>). A text without words has the zero vector."""
     hashed = lambda pattern: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p: F.xxhash64(p))
@@ -55,10 +66,10 @@ def vector(text: Column) -> Column:
     mod = 0xFFFFFFFF
     part = lambda hs, shift: F.aggregate(hs, F.lit(0).cast("long"), lambda a, h: (a + F.shiftright(h, shift).bitwiseAND(mod)).bitwiseAND(mod))
     whole = lambda hs: F.array(part(hs, 0), part(hs, 32))
-    paragraphs = _let(hashed(PARAGRAPH), lambda hs: F.struct(_lanes(hs).alias("lanes"), whole(hs).alias("whole")))
+    paragraphs = _let(hashed(PARAGRAPH), lambda hs: F.struct(_levels(hs).alias("lanes"), whole(hs).alias("whole")))
     return _let(
         paragraphs,
-        lambda p: F.struct(p["lanes"].alias("paragraphs"), _let(hashed(RUN), _lanes).alias("runs"), F.concat(p["whole"], _let(second, whole)).alias("whole")),
+        lambda p: F.struct(p["lanes"].alias("paragraphs"), _let(hashed(RUN), _levels).alias("runs"), F.concat(p["whole"], _let(second, whole)).alias("whole")),
     )
 
 
@@ -80,12 +91,20 @@ def encode(v: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1: 1 if the multisets agree; else the share of equal lanes among those used on either side, of paragraphs or
-    of runs, whichever is more. A lane differs once a paragraph that falls into it does."""
+    of runs, whichever is more. A lane differs once a paragraph that falls into it does, so lanes are taken from the lowest
+    level that is not saturated on either side."""
 
     def share(f: str) -> Column:
-        used = F.zip_with(a[f], b[f], lambda x, y: F.when((x != -128) | (y != -128), (x == y).cast("int")))
-        used = F.filter(used, lambda x: x.isNotNull())
-        return F.when(F.size(used) > 0, F.aggregate(used, F.lit(0), lambda s, x: s + x) / F.size(used)).otherwise(0.0)
+        part = lambda x, j: F.slice(x[f], j * LANES + 1, LANES)
+        roomy = lambda x, j: F.size(F.filter(part(x, j), lambda v: v != -128)) <= FULL
+
+        def at(j: Column) -> Column:
+            used = F.zip_with(part(a, j), part(b, j), lambda x, y: F.when((x != -128) | (y != -128), (x == y).cast("int")))
+            return F.filter(used, lambda x: x.isNotNull())
+
+        rate = lambda used: F.when(F.size(used) > 0, F.aggregate(used, F.lit(0), lambda s, x: s + x) / F.size(used)).otherwise(0.0)
+        found = F.filter(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda j: roomy(a, j) & roomy(b, j))
+        return _let(F.coalesce(F.get(found, F.lit(0)), F.lit(LEVELS - 1)), lambda j: _let(at(j), rate))
 
     return F.when(a["whole"] == b["whole"], 1.0).otherwise(F.least(F.lit(0.99), F.greatest(share("paragraphs"), share("runs"))))
 

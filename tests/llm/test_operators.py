@@ -353,6 +353,18 @@ def test_multiset_hash_is_homomorphic(spark):
     assert tuple(r) == (True, False, True, True)
 
 
+@pytest.mark.parametrize("n", [1_000, 10_000, 100_000])
+def test_long_texts_are_like_their_edits(spark, n):
+    line = lambda name, i: f"{name} paragraph {i} of a long text"
+    text, other = ("\n".join(line(name, i) for i in range(n)) for name in ("some", "other"))
+    edited = "\n".join(line("some" if i < n * 3 // 4 else "new", i) for i in range(n))
+    v = {k: F.col(f"{k}v") for k in "abc"}
+    df = spark.createDataFrame([(text, edited, other)], "a string, b string, c string").repartition(1)
+    df = df.select(F.explode(F.array(F.struct(*(fingerprint.vector(F.col(k)).alias(f"{k}v") for k in "abc")))).alias("v")).select("v.*")
+    r = df.select(fingerprint.likeness(v["a"], v["b"]).alias("edited"), fingerprint.likeness(v["a"], v["c"]).alias("other")).first()
+    assert r["edited"] >= 0.3 and r["other"] <= 0.1
+
+
 # ---- secrets
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
