@@ -23,7 +23,7 @@ SLICE = 500_000
 #: Sequences of one task have ids from this many times its number.
 PER_TASK = 1 << 33
 #: Token ids that are packed best-fit-decreasing at once.
-WINDOW = 1 << 19
+WINDOW = 1 << 21
 
 
 def _tokenised(batch: pa.RecordBatch, text_col: str, path: str, eos: int) -> Iterator[tuple[int, np.ndarray]]:

@@ -246,6 +246,10 @@ def test_best_fit_is_best_fit():
     assert len(got) == len(rooms) and sorted(sum(lengths[i] for i in b) for b in got) == sorted(sum(lengths[i] for i in b) for b in rooms)
 
 
+def test_best_fit_sees_two_million_ids_at_once():
+    assert packing.WINDOW >= 1 << 21  # a quarter of it doubles the padding
+
+
 def test_binary_round_trip(spark, awkward, empty, tmp_path):
     packing.write_packed(packing.pack_best_fit(awkward), f"{tmp_path}/packed")
     enc = tokens.encoder(tokens.default_path())
