@@ -15,11 +15,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from lumispark.llm.common import table
+from lumispark.llm.common import slices, table
 from lumispark.llm.tokens import default_path, encoder
 
-#: Code points of texts that are tokenised at once.
-SLICE = 500_000
+#: Bytes of text that are tokenised at once.
+SLICE = 2_000_000
 #: Sequences of one task have ids from this many times its number.
 PER_TASK = 1 << 33
 #: Token ids that are packed best-fit-decreasing at once.
@@ -28,21 +28,14 @@ WINDOW = 1 << 21
 
 def _tokenised(batch: pa.RecordBatch, text_col: str, path: str, eos: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row number, its ids with eos behind them), a slice of texts at a time."""
-    enc, at = encoder(path), batch.schema.get_field_index(text_col)
-    column = batch.column(at)
-    first, held, size = 0, [], 0
-    for i in range(len(column)):
-        held.append(column[i].as_py())
-        size += len(held[-1] or "")
-        if size >= SLICE or i == len(column) - 1:
-            ids, counts = enc.encode(held)
-            end = 0
-            for j, n in enumerate(counts.tolist()):
-                out = np.empty(n + 1, dtype=np.uint32)
-                out[:n], out[n] = ids[end : end + n], eos
-                end += n
-                yield first + j, out
-            first, held, size = i + 1, [], 0
+    enc, column = encoder(path), batch.column(batch.schema.get_field_index(text_col))
+    for low, high in slices(column, SLICE):
+        ids, counts = enc.encode(column.slice(low, high - low))
+        ends = np.cumsum(counts)
+        own = np.insert(ids, ends, eos)  # behind each text
+        last = (ends + np.arange(1, len(ends) + 1)).tolist()
+        for row, a, b in zip(range(low, high), [0, *last[:-1]], last, strict=True):
+            yield row, own[a:b]
 
 
 def harmonic_cuts(n: int, capacity: int, least: int) -> list[tuple[int, int]]:

@@ -9,6 +9,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,6 +169,12 @@ def test_similar_classes_equal_brute_force(spark):
                 own[at] = f"n{rng.integers(10**6)}"
             texts.append(" ".join(own))
     texts += [texts[0], texts[5], "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert kept_ids(docs) == brute_classes(texts)
+
+
+def brute_classes(texts):
+    """Positions of the texts that stay: the first of each class of Jaccard similarity 0.8 or more, by union of all pairs."""
     sets = [set(simhash.shingles(simhash.words_of(t), 5)) for t in texts]
     root = list(range(len(texts)))
 
@@ -181,9 +188,53 @@ def test_similar_classes_equal_brute_force(spark):
             if len(sets[a] & sets[b]) >= 0.8 * max(1, len(sets[a] | sets[b])) or sets[a] == sets[b]:
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    kept = {r["doc_id"] for r in simhash.similar_classes(docs).where("keep").collect()}
-    assert kept == {find(i) for i in range(len(texts))}
+    return {find(i) for i in range(len(texts))}
+
+
+def kept_ids(docs):
+    return {r["doc_id"] for r in simhash.similar_classes(docs).where("keep").select("doc_id").collect()}
+
+
+def short_texts(rng, n=150):
+    """Texts of 1 to 25 words, with ones that have a word more or one changed, and passages that many share."""
+    passage, texts = " ".join(f"p{i}" for i in range(30)), []
+    for i in range(n):
+        words = [f"v{x}" for x in rng.integers(0, 10**6, 1 + i % 25)]
+        texts += [" ".join(words), " ".join([*words, "more"]), " ".join([*words[:-1], "other"])]
+        if i % 5 == 0:
+            texts.append(" ".join(f"q{x}" for x in rng.integers(0, 10**6, 10)) + " " + passage)
+    return texts
+
+
+def test_short_texts_and_shared_passages_equal_brute_force(spark, monkeypatch):
+    texts = short_texts(np.random.default_rng(6))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = brute_classes(texts)
+    assert kept_ids(docs) == want
+    # common shingles, several tiles in a block, and blocks beyond those that are compared at once
+    monkeypatch.setattr(simhash, "LEAST", 5)
+    monkeypatch.setattr(simhash, "TILE", 7)
+    monkeypatch.setattr(simhash, "SMALL", 4)
+    monkeypatch.setattr(simhash, "MEMBERS", 3)
+    assert len(simhash.common_shingles(docs, "text", 5)) >= 26
+    assert kept_ids(docs) == want
+
+
+def test_near_unique_awkward(spark, awkward, empty):
+    twice = awkward.withColumn("fp", F.lit(1)).withColumn("node", F.lit("x")).withColumn("__same", F.lit(0)).drop("__same")
+    got = simhash.near_unique(twice)
+    assert got.columns == twice.columns
+    # null, empty and blank texts are one class, copies and a near copy of the long text another, repeated rows one row
+    assert sorted(str(r["doc_id"]) for r in got.collect()) == sorted(map(str, [1, 4, 5, None, 6, 9, 10]))
+    assert simhash.near_unique(empty).count() == 0
+    nulls = spark.createDataFrame([(None, " ".join(f"a{i}" for i in range(100)) + t) for t in ("", " x", " y")], "doc_id long, text string")
+    assert simhash.near_unique(nulls).count() == 1
+
+
+def test_near_pairs_of_none_and_of_ties(spark):
+    pairs = lambda rows: sorted(tuple(r) for r in simhash.near_pairs(spark.createDataFrame(rows, "node long"), 2).collect())
+    assert pairs([]) == [] and pairs([(0,)]) == [] and pairs([(0,), (7,)]) == [] and pairs([(0,), (-1,)]) == []
+    assert {frozenset(p) for p in pairs([(0,), (3,)])} == {frozenset((0, 3))}
 
 
 # ---- tokens and packing
@@ -195,13 +246,24 @@ def test_word_encoding_is_the_tokenizers():
     path = tokens.default_path()
     whole = Tokenizer.from_file(path)
     texts = [t for _, t, _ in AWKWARD] + ["It's WE'LL. U.S.A., Straße ΑΣ ΑΣ. İx é é ́a a\x1cb a b a　b", "x<|endoftext|>y 12345 a.,.,b ... ,", "ﬁ ǅ Ⅷ 漢字 ½"]
-    ids, counts = tokens.WordEncoder(path).encode(texts)
+    texts += [" ".join(chr(c) + "ab. Ab" + chr(c) + "., " + chr(c) * 2 + " x" + chr(c) + "y" for c in range(33, 0x250)), ".,.", ", a", "<|startoftext|>. a<|endoftext|>,"]
+    ids, counts = tokens.WordEncoder(path).encode(pa.array(texts, type=pa.string()))
     at = 0
     for t, n in zip(texts, counts, strict=True):
         assert ids[at : at + n].tolist() == whole.encode(t or "", add_special_tokens=False).ids, t
         at += n
 
 
+def test_another_tokenizer_encodes_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, whole, texts = tokens.WordEncoder(path), Tokenizer.from_file(path), ["two words  here\n", None, "", "a b"]
+    ids, counts = enc.encode(pa.array(texts))
+    assert not enc.by_words and ids.tolist() == [i for t in texts for i in whole.encode(t or "", add_special_tokens=False).ids] and counts.sum() == len(ids)
+
+
 def test_harmonic_packing(spark, awkward, empty):
     got = packing.pack_harmonic(awkward.withColumn("ids", F.lit(0)).withColumn("start", F.lit("x"))).collect()
     enc = tokens.encoder(tokens.default_path())
@@ -219,9 +281,9 @@ def test_harmonic_packing(spark, awkward, empty):
     for i, t, _ in AWKWARD:
         if i == 4:
             continue
-        want = [*enc.encode([t])[0].tolist(), 1]
+        want = [*enc.encode(pa.array([t], type=pa.string()))[0].tolist(), 1]
         assert [x for r in sorted(pieces[(i, len(want))], key=lambda r: r["start"]) for x in r["ids"]] == want
-    assert sum(r["length"] for r in got if r["doc_id"] == 4) == 2 * (len(enc.encode(["one"])[0]) + 1)
+    assert sum(r["length"] for r in got if r["doc_id"] == 4) == 2 * (len(enc.encode(pa.array(["one"]))[0]) + 1)
     assert packing.pack_harmonic(empty).count() == 0
 
 
@@ -260,7 +322,7 @@ def test_binary_round_trip(spark, awkward, empty, tmp_path):
             texts[doc].append((start, ids.tolist()))
     for i, t, _ in AWKWARD:
         if i != 4:
-            assert [x for _, ids in sorted(texts[i]) for x in ids] == [*enc.encode([t])[0].tolist(), 49407]
+            assert [x for _, ids in sorted(texts[i]) for x in ids] == [*enc.encode(pa.array([t], type=pa.string()))[0].tolist(), 49407]
     assert len(texts[4]) == 2 and packing.pack_best_fit(empty).count() == 0
 
 
