@@ -25,11 +25,11 @@ from lumispark.llm.common import table
 #: Weights that word features are hashed to.
 WEIGHTS = 1 << 18
 #: Code points of texts that are scored at once; words of a lane of the forward-backward recursion.
-SLICE, LANE = 4_000_000, 256
+SLICE, LANE = 1_000_000, 256
 #: Words of training texts that are taken at once.
 PART = 200_000
 #: Distinct words whose score a worker remembers.
-REMEMBER = 1_000_000
+REMEMBER = 250_000
 #: Marks that are taken off the ends of a word.
 MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "«»“”‘’„¿¡…"
 FEATURES = 6
