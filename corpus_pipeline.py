@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumispark.llm import mixing, packing, secrets, simhash, toxicity
-from lumispark.llm.common import cut, shared_folder, table
+from lumispark.llm.common import shared_folder, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -33,13 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group: five-word shingles, similarity 0.8 or more; the one with the smallest id stays.
 
     Texts without words are equal to each other. Of rows that agree in id and words one stays."""
-    docs = docs.select(*COLUMNS)
-    keep = cut(simhash.similar_classes(docs).where("keep").groupBy("doc_id", "same").count())
-    # the hash of a row's words is made again where the text is; texts meet the rows that stay by id and hash
-    marked = simhash.with_hash(docs)
-    kept = marked.join(keep, marked["doc_id"].eqNullSafe(keep["doc_id"]) & (marked["__same"] == keep["same"]), "left_semi")
-    repeated = not keep.where("count > 1").isEmpty()
-    return (kept.dropDuplicates(["doc_id", "__same"]) if repeated else kept).select(*COLUMNS)
+    return simhash.near_unique(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
