@@ -49,12 +49,21 @@ def build_error() -> Column:
 
 
 def build_runs(scored: DataFrame) -> DataFrame:
-    """Runs of scored tasks: run id, source columns and the classes of the first maximum."""
-    rows = scored.withColumn("run_id", run_id(F.col("job_id"))).withColumn("effective_epoch_count", F.col("n"))
+    """Runs of scored tasks: run id, source columns and the classes of the first maximum. Tasks with a ``build_error`` give
+    none; see ``unbuilt``."""
+    rows = scored.withColumn("run_id", run_id(F.col("job_id"))).withColumn("effective_epoch_count", F.col("n")).where(build_error().isNull())
     rows = rows.withColumn("predicted_coarse_class", V.class_of(F.col("coarse"), COARSE)).withColumn("predicted_leaf_class", V.class_of(F.col("leaf"), LEAF))
     return rows.select(*(F.col(f.name).cast(f.dataType) for f in RUN))
 
 
+def unbuilt(scored: DataFrame) -> DataFrame:
+    """Scored tasks that give no run, with ``cause`` and ``failure`` (class, code): an inconsistent one is an invalid result, a
+    coarse source that does not fit the mode an internal error."""
+    rows = scored.withColumn("effective_epoch_count", F.col("n")).withColumn("cause", build_error()).where("cause is not null")
+    code = F.when(F.col("cause") == "RUN_INVALID", "CLASSIFICATION_RESULT_INVALID").otherwise("WORKER_INTERNAL_INVALID")
+    return rows.withColumn("failure", F.struct(F.lit("PERMANENT").alias("class"), code.alias("code"))).drop("effective_epoch_count")
+
+
 def source_relation() -> Column:
     """Source type, epochs, source run and executed flag fit each other."""
     n = F.col("effective_epoch_count")
@@ -177,6 +186,13 @@ def current_pointers(runs: DataFrame) -> DataFrame:
     return rows.groupBy("object_id").agg(best.alias("b")).select("object_id", "b.*")
 
 
+def merge_current(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored pointers with new ones (as of ``current_pointers``): of an object the greater revision, the stored one of equals."""
+    both = stored.withColumn("old", F.lit(1)).unionByName(new.withColumn("old", F.lit(0)))
+    best = F.max_by(F.struct("run_id", "light_curve_revision", "updated_at"), F.struct("light_curve_revision", "old"))
+    return both.groupBy("object_id").agg(best.alias("b")).select("object_id", "b.*")
+
+
 def current_view(current: DataFrame, runs: DataFrame) -> DataFrame:
     """Current pointers with their whole runs, on run, object and revision."""
     return current.select("object_id", "run_id", "light_curve_revision", "updated_at").join(runs, ["run_id", "object_id", "light_curve_revision"])

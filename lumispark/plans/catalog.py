@@ -554,6 +554,82 @@ def seed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- streams: the same rows, from files that arrive, must come out as from the batch
 
+# What the command ladder says of the spoilt envelopes, then what the light curve check says of the others.
+SQL_COMMAND_CODES = """CASE WHEN user_id % 17 = 0 THEN 'COMMAND_EXECUTION_MODE_UNSUPPORTED' WHEN user_id % 13 = 0 THEN 'COMMAND_PRIORITY_UNSUPPORTED'
+  WHEN user_id % 23 = 0 THEN 'COMMAND_DEADLINE_UNSUPPORTED' WHEN user_id % 19 = 0 THEN 'COMMAND_JOB_ID_MISMATCH' WHEN cause IS NOT NULL THEN 'LIGHT_CURVE_INVALID' END"""
+SQL_RESULT_CODES = """CASE WHEN user_id % 6 = 0 THEN 'RESULT_KEY_MISMATCH' WHEN user_id % 10 = 1 THEN 'RESULT_RUN_ID_MISMATCH' WHEN user_id % 10 = 3 THEN 'RESULT_FIELD_INVALID' END"""
+SQL_RESULT_FIELDS = """CASE WHEN user_id % 6 = 0 THEN 'key' WHEN user_id % 10 = 1 THEN 'run_id' ELSE 'predicted_leaf_class' END"""
+SQL_LETTER_PLACE = """user_id * 10 + [2, 0, 3, 1, 4][light_curve_revision]"""
+
+
+def run_build_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored tasks, some of them spoilt, that give no run: a declared count that is not the epochs', an executed flag that does
+    not fit the mode, a time of year 1, a source type that is not the mode's."""
+    rows = flow.derived_scored(spark, sf_dir)
+    user = derive.user_of(F.col("object_id"))
+    rows = rows.withColumn("declared_eligible_epoch_count", F.when(user % 10 == 2, F.col("declared_eligible_epoch_count") + 1).otherwise(F.col("declared_eligible_epoch_count")))
+    rows = rows.withColumn("executed", F.when(user % 10 == 4, ~F.col("executed")).otherwise(F.col("executed")))
+    rows = rows.withColumn("completed_at", F.when(user % 10 == 6, F.lit("0001-01-01 00:00:00").cast("timestamp")).otherwise(F.col("completed_at")))
+    rows = rows.withColumn("coarse_source_type", F.when(user % 10 == 8, F.pmod("coarse_source_type", F.lit(3)) + 1).otherwise(F.col("coarse_source_type")))
+    return runs.unbuilt(rows).select("job_id", "cause", "failure.class", "failure.code")
+
+
+def executed_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two models: the coarse one only where the mode computes; a reused vector is kept bit for bit, here one of whole eighths."""
+    ready, _ = flow.derived_ready(spark, sf_dir)
+    given = F.array(*(F.lit(x).cast("float") for x in (0.25, 0.125, 0.125, 0.125, 0.125, 0.125, 0.125)))
+    rows = L.model_vectors(ready).withColumn("source", F.struct(given.alias("coarse")))
+    half = lambda: lambda b: b.assign(fine=[[0.5] * 10] * len(b))
+    even = lambda: lambda b: b.assign(coarse=[[0.5, 0.5, 0.0, 0.0, 0.0, 0.0, 0.0]] * len(b))
+    out = scoring.score_split(rows, even, half, ["run_id"])
+    return out.select("run_id", "executed", *(F.get("coarse", F.lit(i)).cast("double").alias(f"c{i}") for i in (0, 1, 2)), *(F.get("leaf", F.lit(i)).cast("double").alias(f"l{i}") for i in (0, 2, 10)))
+
+
+def bundle_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands of objects divisible by 4 ask for a bundle that nobody has; a bad light curve is named before it."""
+    epochs = derive.epochs(spark, sf_dir)
+    user = derive.user_of(F.col("object_id"))
+    tasks = flow.derived_tasks(spark, sf_dir).withColumn("model_bundle_version", F.when(user % 4 == 0, "bundle-of-nobody").otherwise(F.col("model_bundle_version")))
+    bundles = spark.createDataFrame([(derive.BUNDLE,)], "model_bundle_version string")
+    _, failed = flow.prepare(tasks, derive.revisions(epochs), epochs, bundles, flow.no_runs(spark))
+    why = S.failure(F.col("cause"), F.lit("prepare-input"))
+    return failed.select("object_id", "light_curve_revision", "cause", why["class"].alias("error_class"), why["code"].alias("error_code"))
+
+
+QUERIES |= {"run_build_check": run_build_check, "executed_only": executed_only, "bundle_misses": bundle_misses}
+ORACLE_SQL |= {
+    "run_build_check": _with(
+        SQL_MODES,
+        """SELECT job_id, CASE WHEN user_id % 10 = 8 THEN 'COARSE_SOURCE_INVALID' ELSE 'RUN_INVALID' END AS cause, 'PERMANENT' AS class,
+  CASE WHEN user_id % 10 = 8 THEN 'WORKER_INTERNAL_INVALID' ELSE 'CLASSIFICATION_RESULT_INVALID' END AS code FROM modes WHERE user_id % 10 IN (2, 4, 6, 8)""",
+    ),
+    "executed_only": _with(
+        SQL_MODES,
+        """SELECT run_id, x AS executed, CASE WHEN x THEN 0.5 ELSE 0.25 END::DOUBLE AS c0, CASE WHEN x THEN 0.5 ELSE 0.125 END::DOUBLE AS c1, CASE WHEN x THEN 0 ELSE 0.125 END::DOUBLE AS c2,
+  CASE WHEN x THEN 0 ELSE 0.0625 END::DOUBLE AS l0, CASE WHEN x THEN 0.25 ELSE 0.125 END::DOUBLE AS l2, CASE WHEN x THEN 0.5 ELSE 0.125 END::DOUBLE AS l10 FROM (SELECT *, mode <> 'REUSE_PREVIOUS' AS x FROM modes)""",
+    ),
+    "bundle_misses": _with(
+        SQL_STATUS,
+        """SELECT object_id, light_curve_revision, coalesce(cause, 'BUNDLE_NOT_FOUND') AS cause, 'PERMANENT' AS error_class,
+  CASE WHEN cause IS NULL THEN 'MODEL_BUNDLE_NOT_FOUND' ELSE 'LIGHT_CURVE_INVALID' END AS error_code FROM checked WHERE cause IS NOT NULL OR user_id % 4 = 0""",
+    ),
+}
+
+QUERIES |= {"stream_commands": twins.stream_commands, "stream_replay": twins.stream_replay, "result_dlq": twins.result_letters}
+ORACLE_SQL |= {
+    "stream_commands": _with(
+        SQL_STATUS, f"""SELECT "partition"::INT AS "partition", "offset", CASE WHEN code IS NULL THEN job_id END AS job_id, code AS error_code FROM (SELECT *, {SQL_COMMAND_CODES} AS code FROM checked)"""
+    ),
+    "stream_replay": _with(
+        SQL_MODES,
+        f"""SELECT run_id, 1 AS stored, row_number() OVER (PARTITION BY object_id ORDER BY light_curve_revision DESC) = 1 AS is_current FROM modes WHERE ({SQL_RESULT_CODES}) IS NULL""",
+    ),
+    "result_dlq": _with(
+        SQL_MODES,
+        f"""SELECT 'results-dlq' AS topic, CASE WHEN user_id % 6 = 0 THEN 'OBJ-WRONG' ELSE object_id END AS key, 6 AS n_headers, (user_id % 3)::VARCHAR AS "partition", ({SQL_LETTER_PLACE})::VARCHAR AS "offset",
+  {SQL_RESULT_CODES} AS error_code, 'PERMANENT' AS error_class, {SQL_RESULT_FIELDS} AS error_field, 'results' AS from_topic FROM modes WHERE ({SQL_RESULT_CODES}) IS NOT NULL""",
+    ),
+}
 QUERIES |= {"stream_candidates": twins.stream_candidates, "stream_results": twins.stream_results, "stream_alerts": twins.stream_alerts}
 ORACLE_SQL |= {
     "stream_candidates": _with(SQL_COMMANDS, "SELECT 'command' AS kind, count(*) AS rows FROM cmd UNION ALL SELECT 'dead_letter', count(*) FROM judged WHERE error_code IS NOT NULL"),

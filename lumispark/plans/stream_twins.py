@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumispark.functions import status as S
+from lumispark.functions.identity import run_id
+from lumispark.operators import light_curves as L
 from lumispark.operators import runs
 from lumispark.plans import derive, flow
 from lumispark.schemas import ENVELOPE, result_schema
-from lumispark.sources.messages import encode, read_envelope_files
+from lumispark.sources.messages import encode, header, read_envelope_files
 from lumispark.sources.shared import own_folder
-from lumispark.sources.tables import read_runs
+from lumispark.sources.tables import read_current, read_runs
 from lumispark.streaming import pipelines
 
 RESULT = result_schema()
@@ -37,10 +40,61 @@ def result_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _arrive(rows: DataFrame, name: str, files: int = 3) -> tuple[DataFrame, str]:
     """A stream of the rows from a folder of some files, one file a batch."""
-    spark = rows.sparkSession
-    folder = own_folder(spark, name)
+    folder = own_folder(rows.sparkSession, name)
     rows.repartition(files).write.parquet(f"{folder}/in")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder
+    return _stream(rows, f"{folder}/in", 1), folder
+
+
+def _stream(rows: DataFrame, folder: str, files: int) -> DataFrame:
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
+
+
+def stream_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of each command: a result, or a dead letter with its code. The light-curve store is down while the first
+    batch runs: all its valid commands are retryable and wait, and the batches after take them up."""
+    stream, folder = _arrive(derive.command_envelopes(spark, sf_dir), "commands")
+    epochs = derive.epochs(spark, sf_dir)
+    revisions = derive.revisions(epochs)
+    calls = []
+
+    def process(good: DataFrame) -> tuple[DataFrame, DataFrame]:
+        calls.append(len(calls))
+        tasks = good.select("*", *(f"m.{c}" for c in ("job_id", "object_id", "candidate_revision", "light_curve_revision", "declared_eligible_epoch_count", "model_bundle_version", "execution_mode")))
+        checked = L.check_revisions(tasks, revisions, epochs)
+        if len(calls) == 1:
+            checked = checked.withColumn("cause", F.lit("SOURCE_UNAVAILABLE"))
+        failed = checked.where("cause is not null").withColumn("operation", F.lit("prepare-input"))
+        failed = failed.withColumn("failure", S.failure(F.col("cause"), F.col("operation")))
+        done = checked.where("cause is null").select("job_id", run_id(F.col("job_id")).alias("run_id"), "partition", "offset")
+        return done, failed
+
+    pipelines.command_stream(stream, derive.COMMANDS, "commands-dlq", process, f"{folder}/out", f"{folder}/state").awaitTermination()
+    done = spark.read.parquet(f"{folder}/out/results").select("partition", "offset", "job_id", F.lit(None).cast("string").alias("error_code"))
+    dead = spark.read.parquet(f"{folder}/out/dead_letters")
+    dead = dead.select(header("original-partition").cast("int").alias("partition"), header("original-offset").cast("long").alias("offset"), F.lit(None).cast("string").alias("job_id"), header("error-code").alias("error_code"))
+    return done.unionByName(dead)
+
+
+def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run table after the log came file by file, then again in one batch, then a part of it in two, each from a state of
+    its own: how often each run is stored, and whether it is its object's current one."""
+    log = result_envelopes(spark, sf_dir).drop("true_run_id")
+    stream, folder = _arrive(log, "replays")
+    log.where("pmod(offset, 3) = 0").repartition(2).write.parquet(f"{folder}/part")
+    for state, rows in (("first", stream), ("whole", _stream(log, f"{folder}/in", 3)), ("part", _stream(log, f"{folder}/part", 1))):
+        pipelines.result_stream(spark, rows, derive.RESULTS, "results-dlq", f"{folder}/out", f"{folder}/state-{state}", buckets=8).awaitTermination()
+    current = read_current(spark, f"{folder}/out/current").select("run_id", F.lit(True).alias("is_current"))
+    table = read_runs(spark, f"{folder}/out/runs").groupBy("run_id").agg(F.count("*").cast("int").alias("stored"))
+    return table.join(current, "run_id", "left").select("run_id", "stored", F.coalesce("is_current", F.lit(False)).alias("is_current"))
+
+
+def result_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dead letters of the result stream, header by header."""
+    stream, folder = _arrive(result_envelopes(spark, sf_dir).drop("true_run_id"), "letters")
+    pipelines.result_stream(spark, stream, derive.RESULTS, "results-dlq", f"{folder}/out", f"{folder}/state", buckets=4).awaitTermination()
+    rows = spark.read.parquet(f"{folder}/out/dead_letters")
+    names = {"partition": "original-partition", "offset": "original-offset", "error_code": "error-code", "error_class": "error-class", "error_field": "error-field", "from_topic": "original-topic"}
+    return rows.select("topic", F.col("key").cast("string").alias("key"), F.size("headers").alias("n_headers"), *(header(h).alias(c) for c, h in names.items()))
 
 
 def candidate_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -66,7 +120,7 @@ def stream_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         pipelines.result_stream(spark, stream, derive.RESULTS, "results-dlq", f"{folder}/out", f"{folder}/{state}", buckets=4).awaitTermination()
     table = read_runs(spark, f"{folder}/out/runs")
     current = spark.read.parquet(f"{folder}/out/current")
-    view = runs.current_view(current, table.drop("partition", "offset", "batch", "bucket"))
+    view = runs.current_view(current, table.drop("partition", "offset", "stream", "batch", "bucket"))
     return view.groupBy("object_id", "run_id", "light_curve_revision").agg(F.count("*").cast("int").alias("stored"))
 
 

@@ -15,17 +15,21 @@ def bucket(object_id: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(object_id), F.lit(buckets)).cast("int")
 
 
-def append_runs(runs: DataFrame, path: str, batch: int, buckets: int = BUCKETS) -> None:
-    """Append runs under their object's bucket, tagged with the batch, so that a batch written twice overwrites itself."""
-    tagged = runs.withColumn("bucket", bucket(F.col("object_id"), buckets)).withColumn("batch", F.lit(batch).cast("long"))
-    tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "bucket").parquet(path)
+def append_runs(runs: DataFrame, path: str, stream: str, batch: int, buckets: int = BUCKETS) -> None:
+    """Append runs under their object's bucket, tagged with stream and batch, so that a batch written twice overwrites itself."""
+    tagged = runs.withColumn("bucket", bucket(F.col("object_id"), buckets)).withColumn("stream", F.lit(stream)).withColumn("batch", F.lit(batch).cast("long"))
+    tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "stream", "batch").parquet(path)
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    layout = [T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())]
+    layout = [T.StructField("bucket", T.IntegerType()), T.StructField("stream", T.StringType()), T.StructField("batch", T.LongType())]
     return spark.read.schema(T.StructType([*RUN, T.StructField("partition", T.IntegerType()), T.StructField("offset", T.LongType()), *layout])).parquet(path)
 
 
+def read_current(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("object_id string, run_id string, light_curve_revision long, updated_at timestamp, bucket int").parquet(path)
+
+
 def overwrite_current(current: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Replace the touched buckets of the current table by their recomputed rows."""
     tagged = current.withColumn("bucket", bucket(F.col("object_id"), buckets))

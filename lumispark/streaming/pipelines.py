@@ -1,18 +1,20 @@
 """The flow as streams: each batch's effects come before its offsets are committed, and running a batch again changes nothing.
 
-Outputs are folders partitioned by batch: a batch that is run again overwrites its own part. No stream drops duplicates
-by a watermark: replays can come at any time, so they are told by the run table; and late means a lower revision, not an
+Outputs are folders partitioned by stream (named after its checkpoint) and batch: a batch that is run again overwrites its
+own part, and a stream with another checkpoint writes parts of its own. No stream drops duplicates by a watermark: replays can come at any time, so they are told by the run table; and late means a lower revision, not an
 earlier time.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -21,11 +23,17 @@ from lumispark.operators import commands as M
 from lumispark.operators import runs as R
 from lumispark.schemas import CANDIDATE, COMMAND, RUN, result_schema
 from lumispark.sources.messages import decode
-from lumispark.sources.tables import BUCKETS, append_runs, bucket, overwrite_current, read_runs
+from lumispark.sources.tables import BUCKETS, append_runs, bucket, overwrite_current, read_current, read_runs
 
 
-def _write(rows: DataFrame, path: str, batch: int) -> None:
-    rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+def stream_name(checkpoint: str) -> str:
+    """One name for each checkpoint: batch numbers count within it, and begin anew with another."""
+    return hashlib.sha256(checkpoint.encode("utf-8")).hexdigest()[:16]
+
+
+def _write(rows: DataFrame, path: str, stream: str, batch: int) -> None:
+    tagged = rows.withColumn("stream", F.lit(stream)).withColumn("batch", F.lit(batch).cast("long"))
+    tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stream", "batch").parquet(path)
 
 
 def _start(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, once: bool) -> StreamingQuery:
@@ -35,11 +43,12 @@ def _start(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint
 
 def candidate_stream(envelopes: DataFrame, topic: str, bundle: str, command_topic: str, dlq_topic: str, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Candidates to ``out``/commands and ``out``/dead_letters: each event gives one of them or, by policy, nothing."""
+    name = stream_name(checkpoint)
 
     def work(batch: DataFrame, n: int) -> None:
         rows = C.validate_candidates(decode(batch, CANDIDATE), topic).persist(StorageLevel.MEMORY_AND_DISK)
-        _write(C.commands(rows, bundle, command_topic), f"{out}/commands", n)
-        _write(C.candidate_dead_letters(rows, dlq_topic), f"{out}/dead_letters", n)
+        _write(C.commands(rows, bundle, command_topic), f"{out}/commands", name, n)
+        _write(C.candidate_dead_letters(rows, dlq_topic), f"{out}/dead_letters", name, n)
         rows.unpersist()
 
     return _start(envelopes, work, checkpoint, once)
@@ -50,24 +59,27 @@ def command_stream(envelopes: DataFrame, topic: str, dlq_topic: str, process: Ca
 
     ``process`` takes valid commands (with their envelope) and gives (results, failed); failed has the envelope, ``failure``
     and ``operation``. Permanent failures become dead letters; retryable ones stay pending, and the next batch takes them
-    up with its own: that is the retry, without a sleeping task."""
+    up with its own: that is the retry, without a sleeping task. A stream with a new checkpoint reads the topic again, and
+    so has its own pending rows; results have deterministic ids, so what is published twice is stored once."""
+    name = stream_name(checkpoint)
 
     def work(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         rows = batch
         if n > 0:
-            before = spark.read.schema(batch.schema.add("batch", "long") if "batch" not in batch.columns else batch.schema).parquet(f"{out}/pending")
-            rows = batch.unionByName(before.where(F.col("batch") == n - 1).drop("batch"))
+            kept = T.StructType([*batch.schema, T.StructField("stream", T.StringType()), T.StructField("batch", T.LongType())])
+            before = spark.read.schema(kept).parquet(f"{out}/pending")
+            rows = batch.unionByName(before.where((F.col("stream") == name) & (F.col("batch") == n - 1)).select(*batch.columns))
         judged = M.validate_commands(decode(rows, COMMAND), topic).persist(StorageLevel.MEMORY_AND_DISK)
         good = judged.where("error is null")
         bad = judged.where("error is not null").withColumn("failure", F.struct(F.lit("PERMANENT").alias("class"), F.col("error.code").alias("code"))).withColumn("operation", F.lit("decode-command"))
         results, failed = process(good)
         columns = [*batch.columns, "failure", "operation"]
         lost = bad.select(*columns).unionByName(failed.select(*columns)).persist(StorageLevel.MEMORY_AND_DISK)
-        _write(results, f"{out}/results", n)
-        _write(M.command_dead_letters(lost, dlq_topic), f"{out}/dead_letters", n)
+        _write(results, f"{out}/results", name, n)
+        _write(M.command_dead_letters(lost, dlq_topic), f"{out}/dead_letters", name, n)
         # written even when there is nothing pending, so that the next batch has a part to read
-        _write(lost.where("failure.class = 'RETRYABLE'").select(*batch.columns), f"{out}/pending", n)
+        _write(lost.where("failure.class = 'RETRYABLE'").select(*batch.columns), f"{out}/pending", name, n)
         lost.unpersist()
         judged.unpersist()
 
@@ -77,25 +89,32 @@ def command_stream(envelopes: DataFrame, topic: str, dlq_topic: str, process: Ca
 def result_stream(spark: SparkSession, envelopes: DataFrame, topic: str, dlq_topic: str, out: str, checkpoint: str, buckets: int = BUCKETS, once: bool = True) -> StreamingQuery:
     """Results to the run table ``out``/runs, the current table ``out``/current and ``out``/dead_letters.
 
-    Runs of the batch are told from those of earlier batches, so a batch that is run again inserts the same rows into its
-    own part; then current is made anew, from the run table, for the buckets of the objects that the batch touched. A
-    crash between the two heals when the batch is run again."""
+    Runs of the batch are told from all others that are stored, whatever stream and batch they came with, but for those of
+    this very batch: run again it inserts the same rows into its own part, and a replay from another checkpoint, in other
+    batches or of a part of the log inserts nothing that is there. Of the history only the ids in the buckets that the
+    batch touches are read, and of them those that it asks for kept. Then the batch's pointers are merged into current: what
+    is stored stays unless a strictly greater revision came. A crash between the two heals when the batch is run again."""
+    name = stream_name(checkpoint)
 
     def work(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
         judged = R.validate_results(decode(batch, result_schema()), topic).persist(StorageLevel.MEMORY_AND_DISK)
-        _write(R.result_dead_letters(judged, dlq_topic), f"{out}/dead_letters", n)
+        _write(R.result_dead_letters(judged, dlq_topic), f"{out}/dead_letters", name, n)
         incoming = judged.where("error is null").select(*RUN.names, "partition", "offset")
         touched = [r[0] for r in incoming.select(bucket(F.col("object_id"), buckets)).distinct().collect()]
         if touched:
-            if n == 0 and not _exists(batch.sparkSession, f"{out}/runs"):
-                stored = incoming.limit(0).select(*RUN.names, "partition", "offset")
-            else:
-                stored = read_runs(batch.sparkSession, f"{out}/runs").where((F.col("batch") < n) & F.col("bucket").isin(touched)).select(*RUN.names, "partition", "offset")
-            pointers = R.current_pointers(stored)
-            saved = R.save_outcomes(incoming, stored, pointers)
-            append_runs(saved.where("inserted").select(*RUN.names, "partition", "offset"), f"{out}/runs", n, buckets)
-            everything = read_runs(batch.sparkSession, f"{out}/runs").where((F.col("batch") <= n) & F.col("bucket").isin(touched))
-            overwrite_current(R.current_pointers(everything), f"{out}/current", buckets)
+            stored = incoming.limit(0).select("run_id", "job_id")
+            if _exists(spark, f"{out}/runs"):
+                others = read_runs(spark, f"{out}/runs").where(F.col("bucket").isin(touched) & ~((F.col("stream") == name) & (F.col("batch") == n))).select("run_id", "job_id")
+                by_job = others.join(incoming.select("job_id").distinct(), "job_id", "left_semi")
+                stored = by_job.select("run_id", "job_id").union(others.join(incoming.select("run_id").distinct(), "run_id", "left_semi").select("run_id", "job_id")).distinct()
+            pointers = incoming.limit(0).select("object_id", "run_id", "light_curve_revision", F.col("completed_at").alias("updated_at"))
+            if _exists(spark, f"{out}/current"):
+                pointers = read_current(spark, f"{out}/current").where(F.col("bucket").isin(touched)).drop("bucket")
+            saved = R.save_outcomes(incoming, stored, pointers).where("inserted").select(*RUN.names, "partition", "offset").persist(StorageLevel.MEMORY_AND_DISK)
+            append_runs(saved, f"{out}/runs", name, n, buckets)
+            overwrite_current(R.merge_current(pointers, R.current_pointers(saved)), f"{out}/current", buckets)
+            saved.unpersist()
         judged.unpersist()
 
     return _start(envelopes, work, checkpoint, once)
