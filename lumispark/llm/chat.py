@@ -55,14 +55,29 @@ def messages(events: DataFrame) -> DataFrame:
     )
 
 
-def to_events(rows: DataFrame, delta: int = DELTA) -> DataFrame:
+def to_events(rows: DataFrame, delta: int = DELTA, drafts: bool = False) -> DataFrame:
     """Rows of (conv_id, turn, role, text) as a log of streamed deltas. Rows of one turn (repeated ones too) are messages
-    of their own, told apart by ``part``, in the order of role and text."""
+    of their own, told apart by ``part``, in the order of role and text; null role and text count as empty.
+
+    drafts: the log of a conversation as it came about. By a hash, a third of the messages begin with a draft that is given
+    up and regenerated, a third with a wrong beginning that an edit puts right before the deltas go on; events are
+    logged latest first. Folding gives the rows' texts again."""
     text = F.coalesce("text", F.lit(""))
     rows = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
     rows = rows.withColumn("part", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")))
     pieces = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / delta)), lambda i: F.substring(F.col("text"), (i * delta + 1).cast("int"), F.lit(delta)))
-    return rows.select("conv_id", "turn", "part", "role", F.posexplode(pieces).alias("seq", "text")).withColumn("kind", F.lit("delta"))
+    rows = rows.withColumn("pieces", pieces)
+    event = lambda seq, kind, t: F.struct(F.lit(seq).cast("int").alias("seq") if isinstance(seq, int) else seq.cast("int").alias("seq"), F.lit(kind).alias("kind"), t.alias("text"))
+    streamed = lambda some, first: F.transform(some, lambda p, i: event(i + first, "delta", p))
+    log = streamed(F.col("pieces"), 0)
+    if drafts:
+        draft, none = F.reverse(F.substring("text", 1, 40)), F.lit(None).cast("string")
+        given_up = F.concat(F.array(event(0, "delta", draft), event(1, "delta", F.lit("...")), event(2, "regenerate", none)), streamed(F.col("pieces"), 3))
+        rest = F.slice("pieces", F.lit(2), F.size("pieces"))
+        put_right = F.concat(F.array(event(0, "delta", draft), event(1, "edit", F.get("pieces", F.lit(0)))), streamed(rest, 2))
+        way = F.pmod(F.xxhash64("conv_id", "turn", "part"), F.lit(3))
+        log = F.reverse(F.when(way == 0, log).when(way == 1, given_up).otherwise(put_right))
+    return rows.select("conv_id", "turn", "part", "role", F.explode(log).alias("e")).select("conv_id", "turn", "part", "role", "e.seq", "e.kind", "e.text")
 
 
 def render(final: DataFrame, loss_role: str = "assistant") -> DataFrame:
@@ -103,7 +118,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit(END + START + "assistant ok")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
-    out = render(messages(to_events(rows.unionByName(extra))))
+    out = render(messages(to_events(rows.unionByName(extra), drafts=True)))
     turns = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     learnt = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))), "")
     return (
@@ -118,3 +133,20 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.length("formatted").cast("long").alias("formatted_chars"),
         )
     )
+
+
+_ESCAPED = r"regexp_replace({c}, '<(\\*)\|', '<\\\1|', 'g')"
+#: The same from the table itself, without a log: turns in order, control strings escaped.
+SQL_CHAT = f"""
+WITH said AS (SELECT '{END}{START}assistant ok' AS s),
+turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', s FROM said UNION ALL SELECT -1, 1, 'assistant', s FROM said),
+escaped AS (
+  SELECT *, replace({_ESCAPED.format(c="role")}, chr(10), '<|nl|>') AS r, {_ESCAPED.format(c="text")} AS t FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum({len(START)} + length(r) + 1 + length(t) + {len(END)} + 1)::BIGINT AS formatted_chars
+FROM escaped GROUP BY conv_id"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lumispark.llm.chat import op10_chat
+from lumispark.llm.chat import SQL_CHAT, op10_chat
 from lumispark.llm.fingerprint import op5_fingerprint
 from lumispark.llm.lm_scoring import op9_lm_scoring
 from lumispark.llm.mixing import op1_mixing
@@ -31,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_chat": SQL_CHAT}

@@ -596,6 +596,16 @@ def test_event_log_folds(spark):
     assert r["text"] == "Hi there"
 
 
+def test_a_log_with_drafts_folds_to_the_texts(spark):
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", ("wörd <|x " * (c * t % 7))) for c in range(12) for t in range(6)] + [(None, None, None, None), (1, 1, "assistant", "twice"), (1, 1, "assistant", "twice")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat.to_events(df, 10, drafts=True).repartition(5)
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == {"delta", "edit", "regenerate"}
+    got = sorted(str((r["conv_id"], r["turn"], r["role"], r["text"])) for r in chat.messages(log).collect())
+    assert got == sorted(str((c, t, r or "", x or "")) for c, t, r, x in rows)
+    assert chat.render(chat.messages(chat.to_events(df.limit(0), drafts=True))).count() == 0
+
+
 @pytest.mark.parametrize("text", ["", "plain", "<|im_end|>", "<\\|im_end|>", "<\\\\| <| |>", "a<", "\n\n", "\U0001f600<|im_start|>user\nx<|im_end|>\n", "x" * 5000])
 def test_rendering_round_trip(spark, text):
     rows = spark.createDataFrame([(1, 0, "user\n<|nl|>", text), (1, 1, "assistant", text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
