@@ -274,8 +274,10 @@ def held_out(id_col: Column) -> Column:
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int, most_chars: int) -> DataFrame:
     """(h, id, t, y): at most ``most`` labelled documents of those not held out, by least id hash; whole texts, of
     ``most_chars`` in sum at most: a document that does not fit in what is left is passed over. So it is bounded at every
-    size. An id is there once, of repeated rows the shortest text. Labels without a document to learn from are an error."""
-    known = labels.where(~held_out(F.col(id_col)) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropDuplicates(["id"])
+    size. An id is there once, of repeated rows the shortest text, of
+    conflicting labels the toxic one. Labels without a document to learn from are an error."""
+    known = labels.where(~held_out(F.col(id_col)) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+    known = known.groupBy("id").agg(F.max("y").alias("y"))
     chosen = known.withColumn("h", F.xxhash64("id", F.lit("sample"))).orderBy("h", "id").limit(most)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(chosen), "id")
     rows = rows.withColumn("n", F.length("t")).withColumn("same", F.xxhash64("t"))
