@@ -38,7 +38,7 @@ COMMON, LEAST, WINDOW = 1 / 100_000, 64, 1 << 20
 #: Blocks of so many rows are compared all at once; sets of so many shingles whatever their fingerprints are.
 SMALL, SHORT = 64, 20
 #: Sets, and shingles, of one tile of a family at most, or so.
-MEMBERS, SHINGLES = 1024, 1 << 20
+MEMBERS, SHINGLES = 512, 1 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
