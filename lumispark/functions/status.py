@@ -66,6 +66,11 @@ def status_class(status: Column) -> Column:
     return F.when(status.isNull(), "transport_error").when(status.between(100, 599), F.concat(F.floor(status / 100).cast("string"), F.lit("xx"))).otherwise("other")
 
 
+def method_label(method: Column) -> Column:
+    """GET and POST by name, byte for byte; any other method, or none, is OTHER, so that labels stay few."""
+    return F.when(method.isin("GET", "POST"), method).otherwise("OTHER")
+
+
 def valid_time(t: Column) -> Column:
     """Present and within years 1 to 9999."""
     return F.coalesce(t.between(F.lit("0001-01-01 00:00:00").cast("timestamp"), F.lit("9999-12-31 23:59:59.999999").cast("timestamp")), F.lit(False))

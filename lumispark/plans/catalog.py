@@ -596,6 +596,32 @@ def bundle_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return failed.select("object_id", "light_curve_revision", "cause", why["class"].alias("error_class"), why["code"].alias("error_code"))
 
 
+def funnel_from_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The funnel from its first stage on: every candidate names a job, whether or not it is accepted."""
+    seen = derive.revisions(derive.epochs(spark, sf_dir)).select(job_id(F.col("object_id"), F.col("light_curve_revision"), F.lit(derive.BUNDLE), F.lit(1)).alias("job_id"))
+    results = flow.derived_runs(spark, sf_dir)
+    stored = results.where(derive.user_of(F.col("object_id")) % 9 != 4)
+    return operations.funnel(candidates=seen, commands=derive.commands(spark, sf_dir), results=results, runs=stored)
+
+
+def request_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests by method and status class; the method of an event is made of its type."""
+    e = derive.events(spark, sf_dir)
+    method = F.when(F.col("event_type") == "view", "GET").when(F.col("event_type") == "click", "POST").when(F.col("event_type") == "purchase", "post")
+    status = F.when(F.col("event_type") == "error", 503).when(F.col("user_id") % 2 == 0, 204)
+    return e.groupBy(S.method_label(method).alias("method"), S.status_class(status).alias("status_class")).agg(F.count("*").alias("requests"))
+
+
+QUERIES |= {"funnel_from_candidates": funnel_from_candidates, "request_labels": request_labels}
+ORACLE_SQL |= {
+    "funnel_from_candidates": _with(
+        SQL_MODES,
+        """SELECT 1 AS candidates, (k.job_id IS NOT NULL)::INT AS commands, (k.job_id IS NOT NULL AND k.cause IS NULL)::INT AS results,
+  (k.job_id IS NOT NULL AND k.cause IS NULL AND r.user_id % 9 <> 4)::INT AS runs, count(*) AS jobs FROM revs r LEFT JOIN checked k USING (object_id, light_curve_revision) GROUP BY ALL""",
+    ),
+    "request_labels": """SELECT CASE event_type WHEN 'view' THEN 'GET' WHEN 'click' THEN 'POST' ELSE 'OTHER' END AS method,
+  CASE WHEN event_type = 'error' THEN '5xx' WHEN user_id % 2 = 0 THEN '2xx' ELSE 'transport_error' END AS status_class, count(*) AS requests FROM events GROUP BY ALL""",
+}
 QUERIES |= {"run_build_check": run_build_check, "executed_only": executed_only, "bundle_misses": bundle_misses}
 ORACLE_SQL |= {
     "run_build_check": _with(
