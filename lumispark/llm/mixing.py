@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumispark.llm.common import cut, table, word_count
+from lumispark.llm.common import cut, lean, table, word_count
 
 #: Words of a block; slots that one task makes at once; documents that are put in order at once.
 BLOCK, CHUNK, ORDERED = 64, 1 << 16, 512
@@ -54,12 +54,14 @@ def schedule(spark: SparkSession, wanted: list[float]) -> DataFrame:
         i = np.arange(chunk * CHUNK + 1, min((chunk + 1) * CHUNK, n) + 1, dtype=np.int64) % PERIOD
         return np.minimum(np.searchsorted(edges, (i * GOLDEN % PERIOD) / PERIOD, side="right"), last)
 
+    @lean
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for c in b["id"]:
                 have = np.bincount(sources(c), minlength=1)
                 yield pd.DataFrame({"chunk": c, "source_no": np.flatnonzero(have), "slots": have[have > 0]})
 
+    @lean
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for c, begins in zip(b["chunk"], b["begins"], strict=True):

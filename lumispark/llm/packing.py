@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from lumispark.llm.common import slices, table
+from lumispark.llm.common import lean, slices, table
 from lumispark.llm.tokens import default_path, encoder
 
 #: Bytes of text that are tokenised at once.
@@ -99,6 +99,7 @@ def pack_harmonic(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         + ([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])
     )
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() * PER_TASK
         bins, made = Harmonic(capacity), 0
@@ -225,6 +226,7 @@ def pack_best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .add("doc_starts", T.ArrayType(long))
     )
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = TaskContext.get().partitionId() * PER_TASK
         # pieces: (document, start, ids); a document's last piece is what best-fit has to place, the others fill a sequence

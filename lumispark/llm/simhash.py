@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumispark.llm.common import components, cut, slices, split_words, table
+from lumispark.llm.common import components, cut, lean, slices, split_words, table
 
 SEED = 42
 #: Fingerprints of one tile at most; a larger cell has several tiles.
@@ -82,6 +82,7 @@ def _signed(x: int) -> int:
 def fingerprints(docs: DataFrame, id_col: str, text_col: str = "text", k: int = 3) -> DataFrame:
     """(id_col, fp): the 64-bit fingerprint of each text's k-word shingles. Null and empty texts have no shingle: all bits 0."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [_signed(majority(hashes(shingles(words_of(t.as_py()), k)))) for t in b.column(1)]
@@ -155,6 +156,7 @@ def near_pairs(nodes: DataFrame, radius: int, parts: int = 4) -> DataFrame:
     both = pairs.join(tiles.select(F.col("id").alias("ia"), F.col("rows").alias("ra")), "ia").join(tiles.select(F.col("id").alias("ib"), F.col("rows").alias("rb")), "ib")
     both = both.select((F.col("ia") == F.col("ib")).alias("same"), "ra", F.when(F.col("ia") != F.col("ib"), F.col("rb")).alias("rb"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -235,6 +237,7 @@ def common_shingles(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
     All shingles of all texts are counted, WINDOW at a time; those that occur once in a window are left out there, so a
     count is short by one a window at most. What is found decides only in which order shingles are looked at."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, total = [], 0, 0
 
@@ -266,6 +269,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: flo
     and the first shingles of its set, common ones behind all others. Two sets of the threshold's similarity share one of
     the first, as one would otherwise lack more shingles of the other than it may."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             same, sizes, fps, firsts = [], [], [], []
@@ -353,6 +357,7 @@ def families(shared: DataFrame, facts: DataFrame, radius: int, ratio: float) ->
     is a spanning forest of each batch: a row for each node at most, however many candidates there are."""
     rows = shared.join(facts.select("node", F.get("fp", F.lit(0)).alias("f0"), F.get("fp", F.lit(1)).alias("f1"), "n"), "node")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, "h"):
             h, i, j, side, node, f0, f1, n = _arrays(t, "h", "i", "j", "side", "node", "f0", "f1", "n")
@@ -396,6 +401,7 @@ def checked(held: DataFrame, radius: int, threshold: float) -> DataFrame:
     not hang together yet. So a family costs no row for a pair, near copies cost a check each, and no link is lost: what
     comes out connects all that checked candidates of the two tiles connect."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, "family"):
             family, i, j, side, node, f0, f1 = _arrays(t, "family", "i", "j", "side", "node", "f0", "f1")
@@ -468,6 +474,7 @@ def _held(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, k: int)
     texts = with_hash(docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("key"), F.col(text_col).alias("text")), "text", "same")
     texts = texts.join(ids, ["key", "same"]).groupBy("key", "same", "node").agg(F.first("text").alias("text")).select("node", "text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = [s.view(np.int64) for _, s in sets_of(b.column(1), k)]
@@ -482,6 +489,7 @@ def with_hash(docs: DataFrame, text_col: str = "text", to: str = "__same") -> Da
     schema = T.StructType([*docs.schema, T.StructField(to, T.BinaryType())])
     at = docs.columns.index(text_col)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             same = []

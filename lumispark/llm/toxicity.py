@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumispark.llm.common import table
+from lumispark.llm.common import lean, table
 
 #: Weights that word features are hashed to.
 WEIGHTS = 1 << 18
@@ -296,6 +296,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 def trained(sample: DataFrame) -> Scorer:
     """The scorer fitted from a bounded sample in one task; only the model comes to the driver."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((r["h"], r["id"], r["t"], r["y"]) for b in batches for r in b.to_pylist())
         model = pickle.dumps(fit([r[2] for r in rows], np.array([r[3] for r in rows], dtype=np.int64)))
@@ -319,6 +320,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     schema = T.StructType([*docs.schema, T.StructField("score", T.DoubleType()), T.StructField("toxic_spans", span)])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text_col))
