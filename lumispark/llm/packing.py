@@ -19,7 +19,7 @@ from lumispark.llm.common import lean, slices, table
 from lumispark.llm.tokens import default_path, encoder
 
 #: Bytes of text that are tokenised at once.
-SLICE = 2_000_000
+SLICE = 1_000_000
 #: Sequences of one task have ids from this many times its number.
 PER_TASK = 1 << 33
 #: Token ids that are packed best-fit-decreasing at once.

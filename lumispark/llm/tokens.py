@@ -18,7 +18,9 @@ import pyarrow.compute as pc
 from lumispark.llm.common import split_words
 
 #: Distinct words that a worker remembers. Beyond it starts anew: time, not results, depends on it.
-REMEMBER = 1_000_000
+REMEMBER = 500_000
+#: Pieces that are encoded at once: the tokenizer's own objects are far larger than ids.
+LEARN = 1 << 14
 #: Words of Latin letters (to U+00FF) alone.
 SIMPLE = "^[A-Za-zªµºÀ-ÖØ-öø-ÿ]+$"
 
@@ -99,7 +101,8 @@ class WordEncoder:
         if len(new):
             is_simple = np.zeros(len(names), dtype=bool)
             is_simple[at] = simple  # the same piece is simple wherever it stands
-            self._learn([names[i] for i in new.tolist()], is_simple[new].tolist())
+            for at_once in np.split(new, range(LEARN, len(new), LEARN)):
+                self._learn([names[i] for i in at_once.tolist()], is_simple[at_once].tolist())
             known[new] = np.arange(len(self.place) - len(new), len(self.place))
         return known[at]
 
