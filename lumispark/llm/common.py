@@ -61,15 +61,17 @@ def give_back() -> None:
         trim(0)
 
 
-def lean(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+def lean(task: Callable[[Iterator], Iterator], forget: Callable[[], None] = lambda: None) -> Callable[[Iterator], Iterator]:
     """A task over batches that gives its memory back when it ends. Workers outlive tasks: without that, each idle or busy
-    one keeps the height of the hungriest stage that it ever ran, and later stages add theirs."""
+    one keeps the height of the hungriest stage that it ever ran, and later stages add theirs. ``forget`` is called before:
+    it empties what the task remembered in its module."""
 
     @functools.wraps(task)
     def whole(batches: Iterator) -> Iterator:
         try:
             yield from task(batches)
         finally:
+            forget()
             give_back()
 
     return whole

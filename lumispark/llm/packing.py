@@ -6,6 +6,7 @@ one slice of texts and its open bins, and a lost task is done again by itself wi
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from lumispark.llm.common import lean, slices, table
-from lumispark.llm.tokens import default_path, encoder
+from lumispark.llm.tokens import default_path, encoder, forget
 
 #: Bytes of text that are tokenised at once.
 SLICE = 1_000_000
@@ -26,6 +27,10 @@ PER_TASK = 1 << 33
 WINDOW = 1 << 21
 
 
+#: A task that tokenises: at its end a worker keeps the tokenizer, not its words.
+tokenising = functools.partial(lean, forget=forget)
+
+
 def _tokenised(batch: pa.RecordBatch, text_col: str, path: str, eos: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row number, its ids with eos behind them), a slice of texts at a time."""
     enc, column = encoder(path), batch.column(batch.schema.get_field_index(text_col))
@@ -99,7 +104,7 @@ def pack_harmonic(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         + ([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])
     )
 
-    @lean
+    @tokenising
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() * PER_TASK
         bins, made = Harmonic(capacity), 0
@@ -226,7 +231,7 @@ def pack_best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .add("doc_starts", T.ArrayType(long))
     )
 
-    @lean
+    @tokenising
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = TaskContext.get().partitionId() * PER_TASK
         # pieces: (document, start, ids); a document's last piece is what best-fit has to place, the others fill a sequence

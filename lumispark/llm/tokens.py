@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from lumispark.llm.common import split_words
 
 #: Distinct words that a worker remembers. Beyond it starts anew: time, not results, depends on it.
-REMEMBER = 500_000
+REMEMBER = 200_000
 #: Pieces that are encoded at once: the tokenizer's own objects are far larger than ids.
 LEARN = 1 << 14
 #: Words of Latin letters (to U+00FF) alone.
@@ -135,12 +135,18 @@ _ENCODERS: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str) -> WordEncoder:
-    """One encoder for each file in a worker; it stays for the worker's later tasks."""
+    """One encoder for each file in a worker; it stays for the worker's later tasks, its words until ``forget``."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    """Empty the encoders' words: a task learns most of its words anew anyway, and an idle worker would only hold them."""
+    for enc in _ENCODERS.values():
+        enc._forget()
+
+
 def default_path() -> str:
     import public_tokenizers
 
