@@ -14,7 +14,7 @@ from lumispark.operators import candidates as C
 from lumispark.operators import commands as M
 from lumispark.operators import light_curves as L
 from lumispark.operators import modes, operations, runs, scoring
-from lumispark.plans import derive, flow
+from lumispark.plans import derive, flow, sample_twins
 from lumispark.plans import stream_twins as twins
 from lumispark.plans.derive import SQL_CANDIDATES, SQL_COMMANDS, SQL_EPOCHS, SQL_MODES, SQL_STATUS
 from lumispark.schemas import COARSE, FINE, LEAF
@@ -662,6 +662,24 @@ ORACLE_SQL |= {
     "stream_results": ORACLE_SQL["current_classification"].replace("n AS effective_epoch_count, predicted_coarse_class::INT AS predicted_coarse_class, predicted_leaf_class::INT AS predicted_leaf_class", "1 AS stored").replace("QUALIFY", "WHERE user_id % 6 <> 0 AND user_id % 10 NOT IN (1, 3) QUALIFY"),
     "stream_alerts": "SELECT epoch(time_bucket(INTERVAL 1 hour, ts))::BIGINT AS at_s, count(*) AS errors FROM events WHERE event_type = 'error' GROUP BY ALL",
 }
+def sample_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sample_twins.sample_rates(_samples(spark, sf_dir), HOURS)
+    return _at(rows.withColumn("increase", F.round("increase", 3)).withColumn("rate", F.round("rate", 6)))
+
+
+def sample_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_twins.sample_quantiles(duration_histogram(spark, sf_dir), 0.95).withColumn("quantile", F.round("quantile", 6))
+
+
+QUERIES |= {"sample_rates": sample_rates, "sample_quantiles": sample_quantiles, "stream_current": sample_twins.stream_current}
+ORACLE_SQL |= {
+    "sample_rates": ORACLE_SQL["counter_rate"],
+    "sample_quantiles": ORACLE_SQL["latency_quantile"],
+    "stream_current": _with(
+        SQL_MODES,
+        "SELECT object_id, run_id, light_curve_revision, true AS each_once FROM modes QUALIFY row_number() OVER (PARTITION BY object_id ORDER BY light_curve_revision DESC) = 1",
+    ),
+}
 ORACLE_SQL["leaf_labels"] = _with(SQL_SCORED, f"SELECT run_id, {list(LEAF)}[list_position(leaf, list_max(leaf))] AS label FROM classed".replace("'", "'"))
 
 
