@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from lumispark.llm.chat import SQL_CHAT, op10_chat
 from lumispark.llm.fingerprint import op5_fingerprint
+from lumispark.llm.infill import SQL_INFILL, op13_infill
 from lumispark.llm.lm_scoring import op9_lm_scoring
 from lumispark.llm.mixing import op1_mixing
 from lumispark.llm.neighbours import op4_neighbours
@@ -28,7 +29,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_chat": op10_chat,
+    "op13_infill": op13_infill,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_chat": SQL_CHAT}
+ORACLE_SQL: dict[str, str] = {"op10_chat": SQL_CHAT, "op13_infill": SQL_INFILL}
