@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from lumispark.llm.bitslice import SQL_BITSLICE, op11_bitslice
 from lumispark.llm.chat import SQL_CHAT, op10_chat
+from lumispark.llm.divergence import SQL_DIVERGENCE, op12_divergence
 from lumispark.llm.fingerprint import op5_fingerprint
 from lumispark.llm.infill import SQL_INFILL, op13_infill
 from lumispark.llm.lm_scoring import op9_lm_scoring
@@ -29,8 +31,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_chat": op10_chat,
+    "op11_bitslice": op11_bitslice,
+    "op12_divergence": op12_divergence,
     "op13_infill": op13_infill,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_chat": SQL_CHAT, "op13_infill": SQL_INFILL}
+ORACLE_SQL: dict[str, str] = {"op10_chat": SQL_CHAT, "op11_bitslice": SQL_BITSLICE, "op12_divergence": SQL_DIVERGENCE, "op13_infill": SQL_INFILL}
