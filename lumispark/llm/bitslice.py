@@ -9,6 +9,7 @@ bounds who may be among the best, and those rows at the boundary are scored exac
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -22,8 +23,8 @@ from lumispark.llm.common import cut, lean, table
 
 #: Rows of a block; queries that visit one together; those of them that are added at once.
 BLOCK, QUERIES, TOGETHER = 8192, 512, 32
-#: Digits that are kept of a component and of a weight; whole numbers are taken as no larger than LARGEST.
-DIGITS, WEIGHTS, LARGEST = 7, 8, 1 << 53
+#: Digits that are kept of a component and of a weight.
+DIGITS, WEIGHTS = 7, 8
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 INDEX = "block int, rows int, ids binary, kind string, whole binary, widths binary, slices binary, shift int"
@@ -36,9 +37,10 @@ def usable(vec: Column) -> Column:
 
 
 def whole_numbers(x: np.ndarray) -> np.ndarray:
-    """floor(256 x), as far as LARGEST."""
+    """floor(256 x) of rows, as far as every inner product of two of them is sure to fit 64 bits."""
+    most = math.isqrt(((1 << 63) - 1) // max(1, x.shape[1]))
     with np.errstate(over="ignore"):
-        return np.clip(np.floor(x * 256.0), -LARGEST, LARGEST).astype(np.int64)
+        return np.clip(np.floor(x * 256.0), -most, most).astype(np.int64)
 
 
 def _matrix(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -169,15 +171,6 @@ def at_least(slices: list[np.ndarray], among: np.ndarray, value: np.ndarray) ->
     return more | level
 
 
-def exact(whole: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Inner products of rows with one query's weights; in Python's numbers where a sum might leave 64 bits, and then no
-    further from 0 than a long can be."""
-    if int(np.abs(whole).max(initial=0)) * int(np.abs(weights).sum()) < 1 << 62:
-        return whole @ weights
-    sums = whole.astype(object) @ weights.astype(object)
-    return np.array([max(-(1 << 63), min((1 << 63) - 1, int(x))) for x in sums], dtype=np.int64)
-
-
 def _visit(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """What a group of queries does in a block of the index."""
 
@@ -194,7 +187,7 @@ def _visit(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
                 rows = at_least(slices, among, np.array(least, dtype=np.int64))
                 for i in range(len(asked)):
                     at = np.flatnonzero(np.unpackbits(rows[i].view(np.uint8), bitorder="little"))
-                    score = exact(block.whole[at], asked[i])
+                    score = block.whole[at] @ asked[i]
                     best = np.lexsort((block.ids[at], ~score))[:k]
                     n = len(best)
                     out.append(pa.table([np.full(n, numbers[a + i]), np.full(n, ids[a + i]), block.ids[at][best], score[best]], schema=FOUND))
@@ -223,7 +216,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     ``usable`` and rows of a null id take no part; zero vectors do. A query meets vectors of its length only, and no row
     of its own id. Repeated rows are found as often as they are there; queries that agree in id and vector are asked once.
     Fewer rows than k: all of them. No vector or no query: no rows. Extra columns are left out, so none clashes. Components
-    beyond 2^45 count as that; a score that no long holds is given as the nearest one.
+    so large that a score might leave a long (sqrt(2^63 / d) / 256 of d: 1.4 million of 64) count as the largest that cannot.
     Every query visits every block: pairs of a group of queries and a block are dealt out evenly.
     """
     clean = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where(usable(F.col("vec")) & F.col("id").isNotNull())
