@@ -48,12 +48,12 @@ def build_error() -> Column:
     return F.when(~F.coalesce(sound & executed, F.lit(False)), "RUN_INVALID").when(~F.coalesce(typed & source_relation(), F.lit(False)), "COARSE_SOURCE_INVALID")
 
 
-def build_runs(scored: DataFrame) -> DataFrame:
+def build_runs(scored: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Runs of scored tasks: run id, source columns and the classes of the first maximum. Tasks with a ``build_error`` give
-    none; see ``unbuilt``."""
+    none; see ``unbuilt``. ``keep``: columns of the tasks that stay."""
     rows = scored.withColumn("run_id", run_id(F.col("job_id"))).withColumn("effective_epoch_count", F.col("n")).where(build_error().isNull())
     rows = rows.withColumn("predicted_coarse_class", V.class_of(F.col("coarse"), COARSE)).withColumn("predicted_leaf_class", V.class_of(F.col("leaf"), LEAF))
-    return rows.select(*(F.col(f.name).cast(f.dataType) for f in RUN))
+    return rows.select(*(F.col(f.name).cast(f.dataType) for f in RUN), *keep)
 
 
 def unbuilt(scored: DataFrame) -> DataFrame:

@@ -656,12 +656,21 @@ ORACLE_SQL |= {
   {SQL_RESULT_CODES} AS error_code, 'PERMANENT' AS error_class, {SQL_RESULT_FIELDS} AS error_field, 'results' AS from_topic FROM modes WHERE ({SQL_RESULT_CODES}) IS NOT NULL""",
     ),
 }
-QUERIES |= {"stream_candidates": twins.stream_candidates, "stream_results": twins.stream_results, "stream_alerts": twins.stream_alerts}
+QUERIES |= {"stream_candidates": twins.stream_candidates, "stream_results": twins.stream_results, "stream_crash": twins.stream_crash, "stream_alerts": twins.stream_alerts}
 ORACLE_SQL |= {
     "stream_candidates": _with(SQL_COMMANDS, "SELECT 'command' AS kind, count(*) AS rows FROM cmd UNION ALL SELECT 'dead_letter', count(*) FROM judged WHERE error_code IS NOT NULL"),
     "stream_results": ORACLE_SQL["current_classification"].replace("n AS effective_epoch_count, predicted_coarse_class::INT AS predicted_coarse_class, predicted_leaf_class::INT AS predicted_leaf_class", "1 AS stored").replace("QUALIFY", "WHERE user_id % 6 <> 0 AND user_id % 10 NOT IN (1, 3) QUALIFY"),
     "stream_alerts": "SELECT epoch(time_bucket(INTERVAL 1 hour, ts))::BIGINT AS at_s, count(*) AS errors FROM events WHERE event_type = 'error' GROUP BY ALL",
 }
+ORACLE_SQL["stream_crash"] = ORACLE_SQL["stream_results"]
+QUERIES["stream_worker"] = twins.stream_worker
+ORACLE_SQL["stream_worker"] = _with(
+    SQL_SCORED,
+    f"""SELECT run_id, mode <> 'REUSE_PREVIOUS' AS xgboost_executed, CASE mode WHEN 'COMPUTE_CURRENT' THEN 1 WHEN 'REUSE_PREVIOUS' THEN 2 ELSE 3 END::INT AS coarse_source_type,
+  source_run AS coarse_source_run_id, source_revision, {', '.join(f'{_rounded("coarse", i + 1)} AS c{i}' for i in range(7))} FROM classed""",
+)
+
+
 def sample_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sample_twins.sample_rates(_samples(spark, sf_dir), HOURS)
     return _at(rows.withColumn("increase", F.round("increase", 3)).withColumn("rate", F.round("rate", 6)))

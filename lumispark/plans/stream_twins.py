@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +13,9 @@ from lumispark.operators import runs
 from lumispark.plans import derive, flow
 from lumispark.schemas import ENVELOPE, result_schema
 from lumispark.sources.messages import encode, header, read_envelope_files
-from lumispark.sources.shared import own_folder
-from lumispark.sources.tables import read_current, read_runs
-from lumispark.streaming import pipelines
+from lumispark.sources.shared import materialised, own_folder
+from lumispark.sources.tables import RunStore
+from lumispark.streaming import pipelines, worker
 
 RESULT = result_schema()
 
@@ -75,6 +76,32 @@ def stream_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.unionByName(dead)
 
 
+def stream_worker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored runs after commands came in three parts, by revision, each classified by a command stream and stored by a result
+    stream before the next: modes, sources and coarse vectors must be those of the backlog in one pass."""
+    folder, model = own_folder(spark, "worker"), flow.synthetic_model
+    log = derive.commands(spark, sf_dir)
+    user, revision = derive.user_of(F.col("object_id")), F.col("light_curve_revision")
+    place = {"partition": (user % 3).cast("int"), "offset": user * 10 + revision, "timestamp": F.col("created_at")}
+    log = materialised(log.withColumns(place).select(*ENVELOPE.names, "light_curve_revision"))
+    epochs = materialised(derive.epochs(spark, sf_dir))
+    bundles = spark.createDataFrame([(derive.BUNDLE,)], "model_bundle_version string")
+    store = RunStore(spark, f"{folder}/store", 8)
+    process = worker.classifying(store, derive.revisions(epochs), epochs, bundles, model, derive.RESULTS)
+    for part in ("light_curve_revision <= 2", "light_curve_revision in (3, 4)", "light_curve_revision > 4"):
+        log.where(part).drop("light_curve_revision").write.mode("append").parquet(f"{folder}/in")
+        commands = read_envelope_files(spark, f"{folder}/in")
+        pipelines.command_stream(commands, derive.COMMANDS, "commands-dlq", process, f"{folder}/out", f"{folder}/commands-state").awaitTermination()
+        results = read_envelope_files(spark, f"{folder}/out/results")
+        pipelines.result_stream(results, derive.RESULTS, "results-dlq", store.path, f"{folder}/results-state", buckets=8).awaitTermination()
+    rows = store.runs()
+    reused = F.col("coarse_source_type") == 2
+    return rows.select(
+        "run_id", "xgboost_executed", "coarse_source_type", "coarse_source_run_id", F.when(reused, F.col("coarse_source_light_curve_revision")).alias("source_revision"),
+        *(F.round(F.get("coarse", F.lit(i)).cast("double"), 5).alias(f"c{i}") for i in range(7)),
+    )
+
+
 def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run table after the log came file by file, then again in one batch, then a part of it in two, each from a state of
     its own: how often each run is stored, and whether it is its object's current one."""
@@ -82,16 +109,17 @@ def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream, folder = _arrive(log, "replays")
     log.where("pmod(offset, 3) = 0").repartition(2).write.parquet(f"{folder}/part")
     for state, rows in (("first", stream), ("whole", _stream(log, f"{folder}/in", 3)), ("part", _stream(log, f"{folder}/part", 1))):
-        pipelines.result_stream(spark, rows, derive.RESULTS, "results-dlq", f"{folder}/out", f"{folder}/state-{state}", buckets=8).awaitTermination()
-    current = read_current(spark, f"{folder}/out/current").select("run_id", F.lit(True).alias("is_current"))
-    table = read_runs(spark, f"{folder}/out/runs").groupBy("run_id").agg(F.count("*").cast("int").alias("stored"))
+        pipelines.result_stream(rows, derive.RESULTS, "results-dlq", f"{folder}/out", f"{folder}/state-{state}", buckets=8).awaitTermination()
+    store = RunStore(spark, f"{folder}/out")
+    current = store.current().select("run_id", F.lit(True).alias("is_current"))
+    table = store.runs().groupBy("run_id").agg(F.count("*").cast("int").alias("stored"))
     return table.join(current, "run_id", "left").select("run_id", "stored", F.coalesce("is_current", F.lit(False)).alias("is_current"))
 
 
 def result_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dead letters of the result stream, header by header."""
     stream, folder = _arrive(result_envelopes(spark, sf_dir).drop("true_run_id"), "letters")
-    pipelines.result_stream(spark, stream, derive.RESULTS, "results-dlq", f"{folder}/out", f"{folder}/state", buckets=4).awaitTermination()
+    pipelines.result_stream(stream, derive.RESULTS, "results-dlq", f"{folder}/out", f"{folder}/state", buckets=4).awaitTermination()
     rows = spark.read.parquet(f"{folder}/out/dead_letters")
     names = {"partition": "original-partition", "offset": "original-offset", "error_code": "error-code", "error_class": "error-class", "error_field": "error-field", "from_topic": "original-topic"}
     return rows.select("topic", F.col("key").cast("string").alias("key"), F.size("headers").alias("n_headers"), *(header(h).alias(c) for c, h in names.items()))
@@ -117,13 +145,45 @@ def stream_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     same files, from two states: the second run replays everything and must change nothing."""
     stream, folder = _arrive(result_envelopes(spark, sf_dir).drop("true_run_id"), "results")
     for state in ("state", "again"):
-        pipelines.result_stream(spark, stream, derive.RESULTS, "results-dlq", f"{folder}/out", f"{folder}/{state}", buckets=4).awaitTermination()
-    table = read_runs(spark, f"{folder}/out/runs")
-    current = spark.read.parquet(f"{folder}/out/current")
-    view = runs.current_view(current, table.drop("partition", "offset", "stream", "batch", "bucket"))
+        pipelines.result_stream(stream, derive.RESULTS, "results-dlq", f"{folder}/out", f"{folder}/{state}", buckets=4).awaitTermination()
+    return _stored_pointers(RunStore(spark, f"{folder}/out"))
+
+
+def _stored_pointers(store: RunStore) -> DataFrame:
+    """The current pointers with how often the run of each is stored."""
+    view = runs.current_view(store.current().drop("bucket"), store.runs().drop("partition", "offset", "persisted_at", "stream", "batch", "bucket"))
     return view.groupBy("object_id", "run_id", "light_curve_revision").agg(F.count("*").cast("int").alias("stored"))
 
 
+class _Killed(Exception):
+    """What stands for a lost driver."""
+
+
+def stream_crash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The current table after a result stream that was killed in each of its batches: with its dead letters written, its
+    runs and ids, its pointers, its commit but not Spark's. Each time it starts again from its checkpoint. The store is
+    compacted on the way."""
+    stream, folder = _arrive(result_envelopes(spark, sf_dir).drop("true_run_id"), "crashes", 5)
+    kills = {("dead_letters", 0), ("runs", 1), ("current", 2), ("commit", 3), ("current", 4)}
+
+    def after(step: str, n: int) -> None:
+        if (step, n) in kills:
+            kills.remove((step, n))
+            raise _Killed(f"{step} of batch {n}")
+
+    while True:
+        query = pipelines.result_stream(stream, derive.RESULTS, "results-dlq", f"{folder}/out", f"{folder}/state", buckets=4, compact_every=2, after=after)
+        try:
+            query.awaitTermination()
+            break
+        except StreamingQueryException as e:
+            if "_Killed" not in str(e):
+                raise
+    if kills:
+        raise AssertionError(f"not killed at {kills}")
+    return _stored_pointers(RunStore(spark, f"{folder}/out"))
+
+
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors by hour from a windowed stream; a last sample far ahead closes every window before it."""
     events = derive.events(spark, sf_dir).where("event_type = 'error'").select(F.col("ts").cast("timestamp").alias("ts"), F.lit("all").alias("service"), F.lit("error").alias("reason"), F.lit(1.0).alias("increase"))

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -23,7 +24,7 @@ from lumispark.operators import commands as M
 from lumispark.operators import runs as R
 from lumispark.schemas import CANDIDATE, COMMAND, RUN, result_schema
 from lumispark.sources.messages import decode
-from lumispark.sources.tables import BUCKETS, append_runs, bucket, overwrite_current, read_current, read_runs
+from lumispark.sources.tables import BUCKETS, RunStore, bucket
 
 
 def stream_name(checkpoint: str) -> str:
@@ -86,45 +87,58 @@ def command_stream(envelopes: DataFrame, topic: str, dlq_topic: str, process: Ca
     return _start(envelopes, work, checkpoint, once)
 
 
-def result_stream(spark: SparkSession, envelopes: DataFrame, topic: str, dlq_topic: str, out: str, checkpoint: str, buckets: int = BUCKETS, once: bool = True) -> StreamingQuery:
-    """Results to the run table ``out``/runs, the current table ``out``/current and ``out``/dead_letters.
-
-    Runs of the batch are told from all others that are stored, whatever stream and batch they came with, but for those of
-    this very batch: run again it inserts the same rows into its own part, and a replay from another checkpoint, in other
-    batches or of a part of the log inserts nothing that is there. Of the history only the ids in the buckets that the
-    batch touches are read, and of them those that it asks for kept. Then the batch's pointers are merged into current: what
-    is stored stays unless a strictly greater revision came. A crash between the two heals when the batch is run again."""
+def result_stream(
+    envelopes: DataFrame,
+    topic: str,
+    dlq_topic: str,
+    out: str,
+    checkpoint: str,
+    buckets: int = BUCKETS,
+    once: bool = True,
+    compact_every: int = 256,
+    after: Callable[[str, int], None] = lambda step, batch: None,
+) -> StreamingQuery:
+    """Results to the run store ``out`` (runs, ids, current pointers) and to ``out``/dead_letters.
+
+    A batch tells its runs from all that are stored, by job and run id, whatever stream and batch those came with; it adds
+    its new runs and the pointers of the buckets that it touches, where what is stored stays unless a strictly greater
+    revision came, and then commits both at once. Until then nothing of it is seen: a batch that crashes and runs again
+    gives what it would have given, one that had been committed does nothing, and a replay from another checkpoint, in
+    other batches or of a part of the log inserts nothing that is there. The store is compacted every ``compact_every``
+    batches. ``after`` is called after each step (dead_letters, runs, current, commit) with the batch's number.
+
+    The stream is known by its id, which its checkpoint keeps: a checkpoint begun anew is another stream."""
     name = stream_name(checkpoint)
 
     def work(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
+        store, own = RunStore(spark, out, buckets), spark.sparkContext.getLocalProperty("sql.streaming.queryId") or name
+        before = store.commit()
+        if n <= before.last(own):
+            return
         judged = R.validate_results(decode(batch, result_schema()), topic).persist(StorageLevel.MEMORY_AND_DISK)
         _write(R.result_dead_letters(judged, dlq_topic), f"{out}/dead_letters", name, n)
+        after("dead_letters", n)
         incoming = judged.where("error is null").select(*RUN.names, "partition", "offset")
         touched = [r[0] for r in incoming.select(bucket(F.col("object_id"), buckets)).distinct().collect()]
         if touched:
-            stored = incoming.limit(0).select("run_id", "job_id")
-            if _exists(spark, f"{out}/runs"):
-                others = read_runs(spark, f"{out}/runs").where(F.col("bucket").isin(touched) & ~((F.col("stream") == name) & (F.col("batch") == n))).select("run_id", "job_id")
-                by_job = others.join(incoming.select("job_id").distinct(), "job_id", "left_semi")
-                stored = by_job.select("run_id", "job_id").union(others.join(incoming.select("run_id").distinct(), "run_id", "left_semi").select("run_id", "job_id")).distinct()
-            pointers = incoming.limit(0).select("object_id", "run_id", "light_curve_revision", F.col("completed_at").alias("updated_at"))
-            if _exists(spark, f"{out}/current"):
-                pointers = read_current(spark, f"{out}/current").where(F.col("bucket").isin(touched)).drop("bucket")
-            saved = R.save_outcomes(incoming, stored, pointers).where("inserted").select(*RUN.names, "partition", "offset").persist(StorageLevel.MEMORY_AND_DISK)
-            append_runs(saved, f"{out}/runs", name, n, buckets)
-            overwrite_current(R.merge_current(pointers, R.current_pointers(saved)), f"{out}/current", buckets)
+            pointers = store.current(before, among=touched).drop("bucket")
+            saved = R.save_outcomes(incoming, store.known(incoming, before), pointers).where("inserted").select(*RUN.names, "partition", "offset").persist(StorageLevel.MEMORY_AND_DISK)
+            store.append(saved, own, n)
+            after("runs", n)
+            places = store.put_current(R.merge_current(pointers, R.current_pointers(saved)), before)
+            after("current", n)
+            low = before.streams.get(own, (-1, -1))[0]
+            store.publish(replace(before, version=before.version + 1, streams=before.streams | {own: (low, n)}, places=before.places | places))
+            after("commit", n)
             saved.unpersist()
         judged.unpersist()
+        if (n + 1) % compact_every == 0:
+            store.compact()
 
     return _start(envelopes, work, checkpoint, once)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-
-
 def running_current(runs: DataFrame) -> DataFrame:
     """The current revision of each object as keyed state of a stream of PRODUCTION runs (object_id, run_id,
     light_curve_revision): a row whenever it moves. The variant without tables; only strictly greater revisions move it."""
