@@ -49,6 +49,11 @@ def validate_candidates(decoded: DataFrame, topic: str) -> DataFrame:
     return computed_once(decoded, "error", candidate_error(topic))
 
 
+def passed_over() -> Column:
+    """Valid candidates that the policy lets fall: they give neither a command nor a dead letter."""
+    return F.col("error").isNull() & ~F.coalesce(F.col("m.eligible_epoch_count") >= MIN_EPOCHS, F.lit(False))
+
+
 def commands(validated: DataFrame, bundle: str, topic: str) -> DataFrame:
     """Command records of valid candidates that the policy lets through (3 epochs or more), one for each candidate.
 

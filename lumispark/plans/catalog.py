@@ -13,8 +13,8 @@ from lumispark.functions.identity import good_string, job_id, run_id
 from lumispark.operators import candidates as C
 from lumispark.operators import commands as M
 from lumispark.operators import light_curves as L
-from lumispark.operators import modes, operations, runs, scoring
-from lumispark.plans import derive, flow, sample_twins
+from lumispark.operators import heavy, modes, operations, runs, scoring
+from lumispark.plans import derive, flow, sample_twins, state_twins
 from lumispark.plans import stream_twins as twins
 from lumispark.plans.derive import SQL_CANDIDATES, SQL_COMMANDS, SQL_EPOCHS, SQL_MODES, SQL_STATUS
 from lumispark.schemas import COARSE, FINE, LEAF
@@ -689,6 +689,58 @@ ORACLE_SQL |= {
         "SELECT object_id, run_id, light_curve_revision, true AS each_once FROM modes QUALIFY row_number() OVER (PARTITION BY object_id ORDER BY light_curve_revision DESC) = 1",
     ),
 }
+
+
+@query(
+    """WITH k AS (SELECT CASE WHEN event_id % 3 = 0 THEN user_id % 7 ELSE event_id + 1000000 END AS key FROM events)
+SELECT key::BIGINT AS key, count(*) AS records, round(count(*) / (SELECT count(*) FROM k), 9) AS share FROM k GROUP BY key HAVING count(*) >= 0.045 * (SELECT count(*) FROM k)"""
+)
+def key_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of which two thirds occur once, and seven hold the rest: those with 4.5% of all."""
+    key = F.when(F.col("event_id") % 3 == 0, F.col("user_id") % 7).otherwise(F.col("event_id") + 1_000_000).cast("long")
+    return heavy.key_shares(derive.events(spark, sf_dir).select(key.alias("key")), "key", 0.045).withColumn("share", F.round("share", 9))
+
+
+# ---- streams with typed state and timers
+
+_CHANGES = """f AS (SELECT *, {firing} AS firing FROM r),
+a AS (SELECT pod, ws, epoch(ws)::BIGINT // 21600 - row_number() OVER (PARTITION BY pod ORDER BY ws) AS g FROM f WHERE firing),
+spans AS (SELECT pod, epoch(min(ws))::BIGINT AS first, epoch(max(ws))::BIGINT AS last FROM a GROUP BY pod, g HAVING count(*) >= 2)
+SELECT pod, first + 21600 AS at_s, 'raised' AS change FROM spans UNION ALL SELECT pod, last + 21600, 'cleared' FROM spans"""
+
+
+@query(ORACLE_SQL["stream_current"])
+def stream_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state_twins.stream_resumed(spark, sf_dir)
+
+
+@query(
+    """WITH r AS (SELECT time_bucket(INTERVAL 6 hours, ts) AS ws, (user_id % 4)::INT AS pod, count(*) / 21600.0 AS rate,
+  sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) / 21600.0 AS errors FROM events GROUP BY ALL),
+"""
+    + _CHANGES.format(firing="errors / greatest(rate, 0.001) > 0.2 AND rate > 0.0001")
+)
+def stream_error_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state_twins.stream_error_alerts(spark, sf_dir, HOURS)
+
+
+@query(
+    """WITH r AS (SELECT time_bucket(INTERVAL 6 hours, ts) AS ws, (user_id % 5)::INT AS pod, max(CASE WHEN event_type = 'view' THEN value * 4 END) AS age,
+  max(CASE WHEN event_type = 'purchase' THEN regexp_extract(props, '([0-9]+)', 1)::INT % 2 END) AS retrying FROM events WHERE event_type IN ('view', 'purchase') GROUP BY ALL),
+"""
+    + _CHANGES.format(firing="coalesce(age > 200 AND retrying > 0, false)")
+)
+def stream_retry_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state_twins.stream_retry_alerts(spark, sf_dir, HOURS)
+
+
+@query(ORACLE_SQL["new_series"])
+def stream_new_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = _increases(spark, sf_dir).withColumn("id", F.xxhash64("event_type", "pod", "ts"))
+    rows = state_twins.stream_new_series(samples, HOURS).withColumn("increase", F.round("increase", 3))
+    return rows.select("event_type", "pod", "at_s", "increase", "is_new")
+
+
 ORACLE_SQL["leaf_labels"] = _with(SQL_SCORED, f"SELECT run_id, {list(LEAF)}[list_position(leaf, list_max(leaf))] AS label FROM classed".replace("'", "'"))
 
 

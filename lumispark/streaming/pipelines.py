@@ -13,7 +13,7 @@ from dataclasses import replace
 
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -32,9 +32,22 @@ def stream_name(checkpoint: str) -> str:
     return hashlib.sha256(checkpoint.encode("utf-8")).hexdigest()[:16]
 
 
-def _write(rows: DataFrame, path: str, stream: str, batch: int) -> None:
-    tagged = rows.withColumn("stream", F.lit(stream)).withColumn("batch", F.lit(batch).cast("long"))
+class RowsLostError(RuntimeError):
+    """A batch gave out more or fewer rows than it took in."""
+
+
+def _write(rows: DataFrame, path: str, stream: str, batch: int) -> int:
+    """Write a part; how many rows there were, as counted on their way."""
+    seen = Observation()
+    tagged = rows.observe(seen, F.count(F.lit(1)).alias("rows")).withColumn("stream", F.lit(stream)).withColumn("batch", F.lit(batch).cast("long"))
     tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stream", "batch").parquet(path)
+    return seen.get["rows"]
+
+
+def _conserved(kind: str, batch: int, came: int, **went: int) -> None:
+    """Stop the stream, before the batch is committed, if a row that came went nowhere or to two places."""
+    if came != sum(went.values()):
+        raise RowsLostError(f"batch {batch} of the {kind} took {came} rows and gave {went}")
 
 
 def _start(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, once: bool) -> StreamingQuery:
@@ -43,13 +56,16 @@ def _start(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint
 
 
 def candidate_stream(envelopes: DataFrame, topic: str, bundle: str, command_topic: str, dlq_topic: str, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Candidates to ``out``/commands and ``out``/dead_letters: each event gives one of them or, by policy, nothing."""
+    """Candidates to ``out``/commands and ``out``/dead_letters: each event gives one of them or, by policy, nothing. A batch
+    whose written rows and those passed over are not as many as came is not committed, and the stream stops."""
     name = stream_name(checkpoint)
 
     def work(batch: DataFrame, n: int) -> None:
         rows = C.validate_candidates(decode(batch, CANDIDATE), topic).persist(StorageLevel.MEMORY_AND_DISK)
-        _write(C.commands(rows, bundle, command_topic), f"{out}/commands", name, n)
-        _write(C.candidate_dead_letters(rows, dlq_topic), f"{out}/dead_letters", name, n)
+        came, passed = rows.agg(F.count("*"), F.count_if(C.passed_over())).first()
+        written = _write(C.commands(rows, bundle, command_topic), f"{out}/commands", name, n)
+        dead = _write(C.candidate_dead_letters(rows, dlq_topic), f"{out}/dead_letters", name, n)
+        _conserved("candidate stream", n, came, commands=written, dead_letters=dead, passed_over=passed)
         rows.unpersist()
 
     return _start(envelopes, work, checkpoint, once)
@@ -61,7 +77,8 @@ def command_stream(envelopes: DataFrame, topic: str, dlq_topic: str, process: Ca
     ``process`` takes valid commands (with their envelope) and gives (results, failed); failed has the envelope, ``failure``
     and ``operation``. Permanent failures become dead letters; retryable ones stay pending, and the next batch takes them
     up with its own: that is the retry, without a sleeping task. A stream with a new checkpoint reads the topic again, and
-    so has its own pending rows; results have deterministic ids, so what is published twice is stored once."""
+    so has its own pending rows; results have deterministic ids, so what is published twice is stored once. ``process`` has
+    to give one result or one failure for each command: a batch that does not is not committed, and the stream stops."""
     name = stream_name(checkpoint)
 
     def work(batch: DataFrame, n: int) -> None:
@@ -77,7 +94,8 @@ def command_stream(envelopes: DataFrame, topic: str, dlq_topic: str, process: Ca
         results, failed = process(good)
         columns = [*batch.columns, "failure", "operation"]
         lost = bad.select(*columns).unionByName(failed.select(*columns)).persist(StorageLevel.MEMORY_AND_DISK)
-        _write(results, f"{out}/results", name, n)
+        written = _write(results, f"{out}/results", name, n)
+        _conserved("command stream", n, judged.count(), results=written, failed=lost.count())
         _write(M.command_dead_letters(lost, dlq_topic), f"{out}/dead_letters", name, n)
         # written even when there is nothing pending, so that the next batch has a part to read
         _write(lost.where("failure.class = 'RETRYABLE'").select(*batch.columns), f"{out}/pending", name, n)
@@ -117,13 +135,15 @@ def result_stream(
         if n <= before.last(own):
             return
         judged = R.validate_results(decode(batch, result_schema()), topic).persist(StorageLevel.MEMORY_AND_DISK)
-        _write(R.result_dead_letters(judged, dlq_topic), f"{out}/dead_letters", name, n)
+        dead = _write(R.result_dead_letters(judged, dlq_topic), f"{out}/dead_letters", name, n)
         after("dead_letters", n)
         incoming = judged.where("error is null").select(*RUN.names, "partition", "offset")
         touched = [r[0] for r in incoming.select(bucket(F.col("object_id"), buckets)).distinct().collect()]
         if touched:
             pointers = store.current(before, among=touched).drop("bucket")
-            saved = R.save_outcomes(incoming, store.known(incoming, before), pointers).where("inserted").select(*RUN.names, "partition", "offset").persist(StorageLevel.MEMORY_AND_DISK)
+            outcomes = R.save_outcomes(incoming, store.known(incoming, before), pointers).persist(StorageLevel.MEMORY_AND_DISK)
+            _conserved("result stream", n, judged.count(), dead_letters=dead, outcomes=outcomes.count())
+            saved = outcomes.where("inserted").select(*RUN.names, "partition", "offset")
             store.append(saved, own, n)
             after("runs", n)
             places = store.put_current(R.merge_current(pointers, R.current_pointers(saved)), before)
@@ -131,7 +151,7 @@ def result_stream(
             low = before.streams.get(own, (-1, -1))[0]
             store.publish(replace(before, version=before.version + 1, streams=before.streams | {own: (low, n)}, places=before.places | places))
             after("commit", n)
-            saved.unpersist()
+            outcomes.unpersist()
         judged.unpersist()
         if (n + 1) % compact_every == 0:
             store.compact()
