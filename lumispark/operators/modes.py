@@ -35,6 +35,20 @@ def as_of(probes: DataFrame, runs: DataFrame) -> DataFrame:
     return both.withColumn("source", F.max("own").over(before)).where("probe").select(*columns, "source")
 
 
+def as_of_stored(probes: DataFrame, history: DataFrame, buckets: int) -> DataFrame:
+    """As ``as_of``, where history is a table of executed runs bucketed by PAIR (``sources.tables.save_history``): the probes
+    are dealt to its buckets and met by a merge join, so the stored side is neither shuffled nor read twice.
+
+    Each distinct probe meets all runs of its pair before it, which are folded as they come: for a batch of few revisions
+    an object. A backlog with many of one object is better served by ``as_of``, which sorts both sides together once."""
+    key = [*PAIR, "light_curve_revision"]
+    asked = probes.select(*key).repartition(buckets, *PAIR).distinct()
+    runs = history.where("xgboost_executed").select(*(F.col(c).alias(f"__{c}") for c in PAIR), _source().alias("source"))
+    earlier = [F.col(c) == F.col(f"__{c}") for c in PAIR] + [F.col("source.light_curve_revision") < F.col("light_curve_revision")]
+    hits = asked.join(runs.hint("merge"), earlier, "left").groupBy(*key).agg(F.max("source").alias("source"))
+    return probes.repartition(buckets, *PAIR).join(hits.hint("merge"), key, "left").select(*probes.columns, "source")
+
+
 def select_modes(tasks: DataFrame, runs: DataFrame) -> DataFrame:
     """tasks (PAIR, light_curve_revision, n, run_id, task_id) of one backlog, valid ones only, with ``mode``, ``source``.
 

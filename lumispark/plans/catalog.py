@@ -14,12 +14,14 @@ from lumispark.operators import candidates as C
 from lumispark.operators import commands as M
 from lumispark.operators import light_curves as L
 from lumispark.operators import heavy, modes, operations, runs, scoring
-from lumispark.plans import derive, flow, sample_twins, state_twins
+from lumispark.plans import derive, failing, flow, sample_twins, state_twins
 from lumispark.plans import stream_twins as twins
 from lumispark.plans.derive import SQL_CANDIDATES, SQL_COMMANDS, SQL_EPOCHS, SQL_MODES, SQL_STATUS
 from lumispark.schemas import COARSE, FINE, LEAF
 from lumispark.sources.files import parse_light_curve_files, parse_revision_documents
 from lumispark.sources.messages import decode, header
+from lumispark.sources.shared import own_folder
+from lumispark.sources.tables import save_history
 
 FLAGSHIP = "current_classification"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,16 +152,31 @@ def model_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def compatible_coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lookup among stored runs alone: all valid revisions up to 4, as if each had been executed."""
+    probes, stored = _lookups(spark, sf_dir)
+    return _hits(modes.as_of(probes, stored))
+
+
+def _lookups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     ready, _ = flow.derived_ready(spark, sf_dir)
-    stored = ready.where("light_curve_revision <= 4").select(
-        "object_id", "model_bundle_version", "light_curve_revision", "run_id", F.col("n").alias("effective_epoch_count"), F.lit(True).alias("xgboost_executed"), F.col("completed_at").alias("persisted_at"), F.array().cast("array<float>").alias("coarse")
-    )
-    probes = ready.where("n > 20").select("object_id", "model_bundle_version", "light_curve_revision")
-    found = modes.as_of(probes, stored)
+    as_run = {"effective_epoch_count": F.col("n"), "xgboost_executed": F.lit(True), "persisted_at": F.col("completed_at"), "coarse": F.array().cast("array<float>")}
+    stored = ready.where("light_curve_revision <= 4").withColumns(as_run).select("object_id", "model_bundle_version", "light_curve_revision", "run_id", *as_run)
+    return ready.where("n > 20").select("object_id", "model_bundle_version", "light_curve_revision"), stored
+
+
+def _hits(found: DataFrame) -> DataFrame:
     sound = F.col("source").isNull() | modes.source_sound(F.col("light_curve_revision"), F.col("source"))
     return found.where(sound).select("object_id", "light_curve_revision", F.col("source.light_curve_revision").alias("source_revision"))
 
 
+@query(ORACLE_SQL["compatible_coarse"])
+def compatible_coarse_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lookup in a bucketed table of executed runs, which is not shuffled."""
+    probes, stored = _lookups(spark, sf_dir)
+    path = own_folder(spark, "history")
+    history = save_history(stored, f"history_{path.rpartition('-')[2]}", path, 8)
+    return _hits(modes.as_of_stored(probes, history, 8))
+
+
 @query(
     _with(
         SQL_MODES,
@@ -701,6 +718,29 @@ def key_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heavy.key_shares(derive.events(spark, sf_dir).select(key.alias("key")), "key", 0.045).withColumn("share", F.round("share", 9))
 
 
+# ---- every rung, constraint and check with rows that fail it
+
+
+@query(_with(SQL_MODES, failing.SQL_RESULT_RUNGS))
+def result_rungs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return failing.result_rungs(spark, sf_dir)
+
+
+@query(_with(SQL_MODES, failing.SQL_CONSTRAINT_NAMES))
+def constraint_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return failing.constraint_names(spark, sf_dir)
+
+
+@query(_with(SQL_MODES, failing.SQL_OUTPUT_ERRORS))
+def output_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return failing.output_errors(spark, sf_dir)
+
+
+@query(_with(SQL_EPOCHS, failing.SQL_STRING_RULE))
+def string_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return failing.string_rule(spark, sf_dir)
+
+
 # ---- streams with typed state and timers
 
 _CHANGES = """f AS (SELECT *, {firing} AS firing FROM r),

@@ -193,6 +193,16 @@ class RunStore:
         return then
 
 
+def save_history(runs: DataFrame, name: str, path: str, buckets: int = BUCKETS) -> DataFrame:
+    """Executed runs as a table of the catalogue at path, bucketed by object and bundle and sorted by revision within, a file a
+    bucket: lookups meet it without a shuffle (``operators.modes.as_of_stored``). Replaces the table of that name."""
+    by = ("object_id", "model_bundle_version")
+    rows = runs.where("xgboost_executed").select(*by, "light_curve_revision", "persisted_at", "run_id", "effective_epoch_count", "coarse", "xgboost_executed")
+    rows = rows.repartition(buckets, *by).sortWithinPartitions(*by, "light_curve_revision")
+    rows.write.mode("overwrite").option("path", path).bucketBy(buckets, *by).sortBy(*by, "light_curve_revision").saveAsTable(name)
+    return runs.sparkSession.table(name)
+
+
 def _any_of(column: str, values: list[str]) -> Column:
     """The column is one of the values, as equalities: the scan holds each against the statistics and Bloom filter of a row
     group, where of a longer list it would hold only the ends."""

@@ -135,3 +135,31 @@ def test_history_of_an_object_reads_one_file_of_its_bucket(spark, tmp_path):
     assert every.count() == 150
     one = [f for d, _, fs in os.walk(f"{tmp_path}/store/runs/stream=compacted") for f in fs if f.endswith(".parquet")]
     assert len(one) == 4
+
+
+def test_lookups_in_a_saved_history_do_not_shuffle_it(spark, tmp_path):
+    from lumispark.operators import modes
+    from lumispark.sources.tables import save_history
+
+    stored = some_runs(spark, 60, 5).withColumn("persisted_at", F.col("completed_at")).withColumn("effective_epoch_count", F.lit(9).cast("long"))
+    stored = stored.withColumn("model_bundle_version", F.when(F.col("offset") % 4 == 0, "c").otherwise("b")).withColumn("xgboost_executed", F.col("offset") % 7 > 0)
+    history = save_history(stored, "history_of_a_test", f"{tmp_path}/history", 4)
+    probes = stored.select(*modes.PAIR, "light_curve_revision", F.lit("kept").alias("other")).union(spark.createDataFrame([("nobody", "b", 3, "kept")], "a string, b string, c long, d string"))
+    found = modes.as_of_stored(probes.unionByName(probes.limit(3)), history, 4)
+    want = modes.as_of(probes.unionByName(probes.limit(3)), stored)
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+
+    def above(node, exchanged=False):
+        """Whether a shuffle stands between the scan of the history and the join that it goes into."""
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            return above(node.executedPlan(), exchanged)
+        if name.endswith("QueryStage"):
+            return above(node.plan(), exchanged)
+        if name.startswith("Scan parquet") and "history_of_a_test" in name:
+            return [exchanged]
+        children = node.children()
+        return [x for i in range(children.size()) for x in above(children.apply(i), "Join" not in name and (exchanged or "Exchange" in name))]
+
+    assert above(found._jdf.queryExecution().executedPlan()) == [False]
+    spark.sql("DROP TABLE history_of_a_test")
