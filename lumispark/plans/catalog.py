@@ -680,7 +680,9 @@ ORACLE_SQL |= {
     "stream_alerts": "SELECT epoch(time_bucket(INTERVAL 1 hour, ts))::BIGINT AS at_s, count(*) AS errors FROM events WHERE event_type = 'error' GROUP BY ALL",
 }
 ORACLE_SQL["stream_crash"] = ORACLE_SQL["stream_results"]
-QUERIES["stream_worker"] = twins.stream_worker
+QUERIES |= {"stream_worker": twins.stream_worker, "stream_sliding_alerts": twins.stream_sliding_alerts}
+ORACLE_SQL["stream_sliding_alerts"] = """SELECT epoch(time_bucket(INTERVAL 1 hour, ts))::BIGINT - 3600 * k AS at_s, count(*) AS errors
+FROM events, (SELECT unnest(range(3)) AS k) WHERE event_type = 'error' GROUP BY ALL HAVING count(*) > 2"""
 ORACLE_SQL["stream_worker"] = _with(
     SQL_SCORED,
     f"""SELECT run_id, mode <> 'REUSE_PREVIOUS' AS xgboost_executed, CASE mode WHEN 'COMPUTE_CURRENT' THEN 1 WHEN 'REUSE_PREVIOUS' THEN 2 ELSE 3 END::INT AS coarse_source_type,

@@ -184,17 +184,23 @@ def stream_crash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored_pointers(RunStore(spark, f"{folder}/out"))
 
 
-def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors by hour from a windowed stream; a last sample far ahead closes every window before it."""
+def stream_alerts(spark: SparkSession, sf_dir: str, width: str = "1 hour", slide: str = "1 hour", least: float = 0.0) -> DataFrame:
+    """Errors by window from a windowed stream, of windows with more than ``least``; a last sample far ahead closes every
+    window before it."""
     events = derive.events(spark, sf_dir).where("event_type = 'error'").select(F.col("ts").cast("timestamp").alias("ts"), F.lit("all").alias("service"), F.lit("error").alias("reason"), F.lit(1.0).alias("increase"))
     end = events.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("interval 60 days")).alias("ts"), F.lit("all").alias("service"), F.lit("end").alias("reason"), F.lit(0.0).alias("increase"))
     folder = own_folder(spark, "alerts")
     events.write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
-    alerts = pipelines.windowed_alerts(stream, "1 hour", "1 hour", "10 minutes", 0.0)
+    alerts = pipelines.windowed_alerts(stream, width, slide, "10 minutes", least)
     for part in (events, end):
         if part is end:
             part.write.mode("append").parquet(f"{folder}/in")
         alerts.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.parquet(f"{folder}/out")
     return rows.groupBy(F.unix_timestamp("window_start").alias("at_s")).agg(F.sum("increase").cast("long").alias("errors"))
+
+
+def stream_sliding_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of three hours, one beginning every hour, in which over two errors came."""
+    return stream_alerts(spark, sf_dir, "3 hours", "1 hour", 2.0)
