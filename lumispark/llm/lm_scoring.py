@@ -1,217 +1,208 @@
 """Cross-entropy difference of two n-gram models: how much more a document is like the target than like the background.
 
 Both models are word bigrams with absolute discounting that backs off to smoothed unigrams. They are matched: one
-vocabulary, one order, one discount, one set of pairs that are modelled outright; only the counts differ. The target's
-are over the documents chosen by a label, the background's over all others; every document of the corpus is counted.
+vocabulary (all words), one order, one discount; only the counts differ. The target's are over the documents chosen by a
+label, the background's over all others. A document is scored by counts from which its own are taken off.
+
+No count is left out, and none comes to the driver. Documents are dealt to slices; a slice asks for its distinct pairs, dealt
+by first word to as many groups as there are slices; a group adds up what all slices have of a pair and answers each of
+them; a slice then scores its documents with what it was answered. What a task holds is about a slice, at every size.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lumispark.llm.common import Slots, cut, lean, table
+from lumispark.llm.common import Slots, lean, slices, split_words, table
 
-#: A word or pair is modelled outright if it is at least this share of all: at most 1/share of them can be, at any size.
-WORD_SHARE, PAIR_SHARE = 1 / 100_000, 1 / 500_000
 DISCOUNT = 0.5
-#: Distinct words, or pairs, that a task holds before it hands their counts on; code points of texts taken at once.
-HELD_WORDS, HELD_PAIRS, SLICE = 400_000, 1_500_000, 4_000_000
-#: Word numbers 0 and 1: any word that is not modelled, and the edge of a text.
-OTHER, EDGE = 0, 1
-
-
-def words_of(text: str | None) -> list[str]:
-    return (text or "").lower().split()
-
-
-def _slices(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[tuple]]:
-    """Rows as tuples, some at a time: as many as make SLICE code points of the last column."""
-    for batch in batches:
-        own, held, size = [batch.column(batch.schema.get_field_index(c)) for c in columns], [], 0
-        for i in range(batch.num_rows):
-            held.append(tuple(c[i].as_py() for c in own))
-            size += len(held[-1][-1] or "")
-            if size >= SLICE:
-                yield held
-                held, size = [], 0
-        if held:
-            yield held
+#: Bytes of text of a slice; a longer document is one by itself.
+SLICE = 12_000_000
+#: The edge of a text, as a word's hash. Words go by hashes of 64 bits.
+EDGE = np.uint64(1)
+
+ASKED = "grp int, slice long, first binary, many binary, second binary, target binary, background binary"
+ANSWERED = "grp int, slice long, words binary, pairs binary, tokens array<long>, n_words long"
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(word, target, background): how often each word of docs (target: boolean, text) is in either part."""
+def sliced(docs: DataFrame) -> DataFrame:
+    """(slice, ids, targets, texts): documents (id, target, text) in rows of some SLICE bytes; null texts as empty ones."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
-
-        def out() -> pa.RecordBatch:
-            names = list(counts[0].keys() | counts[1].keys())
-            columns = [pa.array(names, type=pa.string()), *(pa.array([c[w] for w in names], type=pa.int64()) for c in (counts[1], counts[0]))]
-            for c in counts:
-                c.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["word", "target", "background"])
-
-        for rows in _slices(batches, ["target", "text"]):
-            for target, text in rows:
-                counts[bool(target)].update(words_of(text))
-            if len(counts[0]) + len(counts[1]) > HELD_WORDS:
-                yield out()
-        if counts[0] or counts[1]:
-            yield out()
-
-    partial = docs.select("target", "text").mapInArrow(run, "word string, target long, background long")
-    return partial.groupBy("word").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-class Numbers:
-    """Word numbers of texts, end to end, each text with an EDGE before and one behind."""
+        number, held, size = TaskContext.get().partitionId() << 33, [], 0
+
+        def row() -> pa.RecordBatch:
+            nonlocal number
+            part = pa.concat_tables(held).combine_chunks()
+            listed = [pa.ListArray.from_arrays(pa.array([0, len(part)], type=pa.int32()), part[c].chunk(0)) for c in ("id", "target", "text")]
+            number += 1
+            return pa.RecordBatch.from_arrays([pa.array([number - 1]), *listed], names=["slice", "ids", "targets", "texts"])
+
+        for batch in batches:
+            for a, b in slices(batch["text"], SLICE // 8):
+                held.append(pa.Table.from_batches([batch.slice(a, b - a)]))
+                size += held[-1]["text"].nbytes
+                if size >= SLICE:
+                    yield row()
+                    held, size = [], 0
+        if held:
+            yield row()
 
-    def __init__(self, vocab: list[str]):
-        self.vocab = vocab
-        self.at = {}
+    kind = docs.schema["id"].dataType.simpleString()
+    docs = docs.select("id", "target", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.mapInArrow(run, f"slice long, ids array<{kind}>, targets array<boolean>, texts array<string>")
 
-    def __getstate__(self):
-        return self.vocab
 
-    def __setstate__(self, vocab):
-        self.__init__(vocab)
+class Pairs:
+    """The word pairs of a slice's texts. ``words``: distinct hashes in order; ``first`` and ``second``: the words of each pair
+    as it stands in the text, by place among them, ``doc`` its text; ``code``: distinct pairs in order of their hashes."""
 
-    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        if not self.at:
-            self.at = {w: i + 2 for i, w in enumerate(self.vocab)}
-        get, out, counts = self.at.get, [], []
-        for t in texts:
-            w = words_of(t)
-            out.append(EDGE)
-            out += [get(x, OTHER) for x in w]
-            counts.append(len(w) + 2)
-            out.append(EDGE)
-        return np.array(out, dtype=np.int64), np.array(counts, dtype=np.int64)
+    def __init__(self, texts: pa.Array):
+        distinct, at, counts = split_words(pc.utf8_lower(texts))
+        named = np.array([xxhash.xxh64_intdigest(w) for w in distinct.to_pylist()], dtype=np.uint64)
+        self.words, place = np.unique(np.concatenate(([EDGE], named)), return_inverse=True)
+        # each text's words with an edge before and one behind: a text of k words has k + 1 pairs
+        ends = np.cumsum(counts + 2)
+        line = np.full(ends[-1] if len(ends) else 0, place[0], dtype=np.int64)
+        inner = np.ones(len(line), dtype=bool)
+        inner[ends - 1] = inner[ends - counts - 2] = False
+        line[inner] = place[1:][at]
+        doc = np.repeat(np.arange(len(counts)), counts + 2)
+        within = np.ones(max(0, len(line) - 1), dtype=bool)
+        within[ends[:-1] - 1] = False
+        self.first, self.second, self.doc, self.tokens = line[:-1][within], line[1:][within], doc[:-1][within], counts + 1
+        self.code, self.at = np.unique(self.first * len(self.words) + self.second, return_inverse=True)
 
+    def dealt(self, groups: int) -> tuple[np.ndarray, np.ndarray]:
+        """(order, edges): the distinct pairs by group, which their first word decides, and where each group's begin."""
+        group = (self.words[self.code // len(self.words)] % np.uint64(groups)).astype(np.int64)
+        return np.argsort(group, kind="stable"), np.searchsorted(np.sort(group), np.arange(groups + 1))
 
-def _pairs(ids: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(pair codes, place of the text of each): the pairs within texts; a text of k words has k + 1."""
-    code = ids[:-1] * n + ids[1:]
-    text = np.repeat(np.arange(len(counts)), counts)
-    inside = text[:-1] == text[1:]
-    return code[inside], text[:-1][inside]
 
+def _numbers(x: np.ndarray, kind: str) -> bytes:
+    return x.astype(kind).tobytes()
 
-def count_pairs(docs: DataFrame, numbers: Numbers, n: int) -> DataFrame:
-    """(pair, target, background): how often each pair code is in either part."""
 
+def _asking(groups: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, have = np.zeros(0, dtype=np.int64), np.zeros((2, 0), dtype=np.int64)
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(have[1]), pa.array(have[0])], names=["pair", "target", "background"])
-
-        for rows in _slices(batches, ["target", "text"]):
-            ids, counts = numbers.of([t for _, t in rows])
-            own, text = _pairs(ids, counts, n)
-            is_target = np.array([bool(t) for t, _ in rows])[text]
-            both, at = np.unique(np.concatenate((code, own)), return_inverse=True)
-            new = np.zeros((2, len(both)), dtype=np.int64)
-            new[:, at[: len(code)]] = have
-            for k in (0, 1):
-                new[k] += np.bincount(at[len(code) :][is_target == bool(k)], minlength=len(both))
-            code, have = both, new
-            if len(code) > HELD_PAIRS:
-                yield out()
-                code, have = code[:0], have[:, :0]
-        if len(code):
-            yield out()
-
-    partial = docs.select("target", "text").mapInArrow(run, "pair long, target long, background long")
-    return partial.groupBy("pair").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-class Models:
-    """Logarithms of both models over one vocabulary of n words: pairs outright, and a left and a right term for all others."""
-
-    def __init__(self, n: int, words: np.ndarray, pairs: np.ndarray, seen: np.ndarray, firsts: np.ndarray):
-        """words: (2, n) counts; pairs: sorted codes; seen: (2, len(pairs)) counts; firsts: (2, n) times a word begins a pair."""
-        self.n, self.pairs = n, pairs
-        self.left, self.right, self.exact = (np.zeros((2, m), dtype=np.float32) for m in (n, n, len(pairs)))
-        a, b = pairs // n, pairs % n
-        for k in (0, 1):
-            single = (words[k] + 1.0) / (words[k].sum() + n)
-            whole = firsts[k] + 1.0
-            kept = np.maximum(seen[k] - DISCOUNT, 0) / whole[a]
-            # what the pairs that are modelled outright leave is spread by the unigrams; the 1 above keeps it over 0
-            rest = np.maximum(1.0 - np.bincount(a, weights=kept, minlength=n), 1e-9)
-            self.left[k], self.right[k] = np.log(rest), np.log(single)
-            self.exact[k] = np.log(kept + rest[a] * single[b])
-
-    def losses(self, code: np.ndarray) -> np.ndarray:
-        """(2, len(code)): the negative logarithm, in nats, of each pair under the target and the background."""
-        out = self.left[:, code // self.n] + self.right[:, code % self.n]
-        if len(self.pairs):
-            at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
-            hit = self.pairs[at] == code
-            out[:, hit] = self.exact[:, at[hit]]
-        return -out.astype(np.float64)
-
-
-def train(docs: DataFrame) -> tuple[Numbers, Models]:
-    """Both models from all of docs (target: boolean, text). Counts are gathered by shuffles of partial counts; to the driver
-    come the words and pairs above their share, of which there are 1/share at most whatever the corpus is."""
-    words = cut(count_words(docs))
-    total = words.agg(F.sum(F.col("target") + F.col("background"))).first()[0] or 0
-    often = words.where(F.col("target") + F.col("background") >= max(2.0, WORD_SHARE * total)).toArrow().sort_by("word")
-    vocab = often["word"].to_pylist()
-    n, numbers = len(vocab) + 2, Numbers(vocab)
-    pairs = cut(count_pairs(docs, numbers, n))
-    firsts = pairs.groupBy(F.floor(F.col("pair") / n).alias("w")).agg(F.sum("target").alias("target"), F.sum("background").alias("background")).toArrow()
-    seconds = pairs.groupBy(F.pmod("pair", F.lit(n)).alias("w")).agg(F.sum("target").alias("target"), F.sum("background").alias("background")).toArrow()
-    sums = pairs.agg(F.sum(F.col("target") + F.col("background"))).first()[0] or 0
-    kept = pairs.where(F.col("target") + F.col("background") >= max(2.0, PAIR_SHARE * sums)).toArrow().sort_by("pair")
-
-    def counts(t: pa.Table) -> np.ndarray:
-        out = np.zeros((2, n))
-        for k, c in enumerate(("target", "background")):
-            out[k, t["w"].to_numpy()] = t[c].to_numpy()
-        return out
-
-    seen = np.stack([kept[c].to_numpy() for c in ("target", "background")]).astype(np.float64)
-    return numbers, Models(n, counts(seconds), kept["pair"].to_numpy(), seen, counts(firsts))
+        for batch in batches:
+            for i in range(len(batch)):
+                texts, target = batch["texts"].slice(i, 1).flatten(), batch["targets"].slice(i, 1).flatten().to_numpy(zero_copy_only=False).astype(bool)
+                own = Pairs(texts)
+                both = np.stack([np.bincount(own.at[target[own.doc] == k], minlength=len(own.code)) for k in (True, False)])
+                order, edges = own.dealt(groups)
+                out = []
+                for g, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                    if a < b:
+                        first, second = np.divmod(own.code[order[a:b]], len(own.words))
+                        words, many = np.unique(first, return_counts=True)
+                        out.append((g, batch["slice"][i].as_py(), own.words[words].tobytes(), _numbers(many, "<u4"), own.words[second].tobytes(), *(_numbers(x[order[a:b]], "<u4") for x in both)))
+                types = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[c.split()[0] for c in ASKED.split(", ")])
+
+    return run
+
+
+def _answer(key: tuple, asked: pa.Table) -> pa.Table:
+    """What all slices together have of a group's pairs, to each slice in the order that it asked in: of its first words the
+    counts and the numbers of distinct words behind them, of its pairs the counts, target and background."""
+    rows = asked.to_pylist()
+    read = lambda c, kind: [np.frombuffer(r[c], dtype=kind) for r in rows]
+    words, many, second = read("first", "<u8"), read("many", "<u4"), read("second", "<u8")
+    firsts, a = np.unique(np.concatenate(words), return_inverse=True)
+    seconds, b = np.unique(np.concatenate(second), return_inverse=True)
+    code, at = np.unique(np.repeat(a, np.concatenate(many)) * len(seconds) + b, return_inverse=True)
+    seen = np.stack([np.bincount(at, weights=np.concatenate(read(c, "<u4")), minlength=len(code)) for c in ("target", "background")]).astype(np.int64)
+    first = code // len(seconds)
+    stats = np.stack([f for s in seen for f in (np.bincount(first, weights=s, minlength=len(firsts)), np.bincount(first[s > 0], minlength=len(firsts)))]).astype(np.int64)
+    out, w, p = [], 0, 0
+    for i, r in enumerate(rows):
+        own, its = a[w : w + len(words[i])], at[p : p + len(second[i])]
+        w, p = w + len(own), p + len(its)
+        out.append((r["grp"], r["slice"], _numbers(stats[:, own], "<i8"), _numbers(seen[:, its], "<u4"), seen.sum(axis=1).tolist() if i == 0 else [0, 0], len(firsts) if i == 0 else 0))
+    types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64()]
+    return pa.Table.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[c.split()[0] for c in ANSWERED.split(", ")])
+
+
+def losses(own: Pairs, target: np.ndarray, stats: np.ndarray, seen: np.ndarray, tokens: list[int], n_words: int) -> np.ndarray:
+    """(2, texts): mean nats a token of each text under the target and the background, its own counts taken off.
+
+    stats: of each word of the slice, target count and successors, background count and successors; seen: of each distinct
+    pair its two counts; tokens: all of both parts."""
+    n, docs = len(own.words), len(own.tokens)
+    # how often each text has each of its pairs and words
+    pair, place = np.unique(own.doc * len(own.code) + own.at, return_inverse=True)
+    its = np.bincount(place, minlength=len(pair))
+    doc, code = pair // max(1, len(own.code)), pair % max(1, len(own.code))
+    first, second = np.divmod(own.code[code], n)
+    word, at_first = np.unique(doc * n + first, return_inverse=True)
+    count = np.bincount(at_first, weights=its, minlength=len(word))
+    at_second = np.searchsorted(word, doc * n + second)  # every word of a text, and its edge, is the first of some pair
+    out = np.zeros((2, docs))
+    for k, part in enumerate((True, False)):
+        mine = target[doc] == part
+        off = np.where(mine, its, 0)
+        both = seen[k][code] - off
+        gone = np.bincount(at_first, weights=mine & (both == 0), minlength=len(word))[at_first]
+        own_first, own_second = (np.where(mine, count[x], 0) for x in (at_first, at_second))
+        whole = stats[2 * k][first] - own_first + 1.0
+        rest = (1.0 + DISCOUNT * (stats[2 * k + 1][first] - gone)) / whole
+        single = (stats[2 * k][second] - own_second + 1.0) / (tokens[k] - np.where(mine, own.tokens[doc], 0) + n_words)
+        out[k] = np.bincount(doc, weights=-its * np.log(np.maximum(both - DISCOUNT, 0) / whole + rest * single), minlength=docs)
+    return out / own.tokens
+
+
+def _scoring(groups: int, tokens: list[int], n_words: int, id_type: pa.DataType, names: list[str]) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    def score(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
+        ids, target, text = (pa.concat_arrays([c.flatten() for c in texts[x].chunks]) for x in ("ids", "targets", "texts"))
+        target = target.to_numpy(zero_copy_only=False).astype(bool)
+        own = Pairs(text)
+        order, edges = own.dealt(groups)
+        stats, seen = np.zeros((4, len(own.words)), dtype=np.int64), np.zeros((2, len(own.code)), dtype=np.int64)
+        for r in answers.to_pylist():
+            at = order[edges[r["grp"]] : edges[r["grp"] + 1]]
+            seen[:, at] = np.frombuffer(r["pairs"], dtype="<u4").reshape(2, -1)
+            stats[:, np.unique(own.code[at] // len(own.words))] = np.frombuffer(r["words"], dtype="<i8").reshape(4, -1)
+        mean = losses(own, target, stats, seen, tokens, n_words)
+        return pa.Table.from_arrays([ids.cast(id_type), *map(pa.array, (own.tokens, *mean, mean[0] - mean[1]))], names=names)
+
+    return score
 
 
 def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_tokens, target_loss, background_loss, difference): nats a token, and target less background; low is like the target.
 
     target: ids of the target's documents. A token is a word, or the end of the text; null and empty texts have the end
-    alone. Repeated rows are counted and scored as often as they are there; repeated ids in target count once. An empty
-    target, or one that is all, gives differences all the same: the models are smoothed. Extra columns are left out.
+    alone. Repeated rows are counted and scored as often as they are there, each with its own counts taken off; repeated
+    ids in target count once. An empty target, or one that is all, gives differences all the same: the models are
+    smoothed. Extra columns are left out, so none clashes. No rows: none. To the driver come three numbers.
     """
+    spark = docs.sparkSession
+    slots = Slots(spark)
     chosen = target.select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct().withColumn("target", F.lit(True))
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(chosen.hint("merge"), id_col, "left").withColumn("target", F.coalesce("target", F.lit(False)))
-    # texts meet the target's ids once, by a shuffle at every size; the three passes read what was written then
-    rows = Slots(docs.sparkSession).keep("marked", rows)
-    numbers, models = train(rows)
-    out = rows.select(F.col(id_col), "text")
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, target_loss double, background_loss double, difference double"
-
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _slices(batches, [id_col, "text"]):
-            ids, counts = numbers.of([t for _, t in rows])
-            code, text = _pairs(ids, counts, models.n)
-            loss = models.losses(code)
-            tokens = counts - 1
-            mean = [np.bincount(text, weights=x, minlength=len(rows)) / tokens for x in loss]
-            columns = [pa.array([i for i, _ in rows]), *map(pa.array, (tokens, *mean, mean[0] - mean[1]))]
-            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "target_loss", "background_loss", "difference"])
-
-    return out.mapInArrow(run, schema)
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(chosen.hint("merge"), id_col, "left")
+    rows = rows.select(F.col(id_col).alias("id"), F.coalesce("target", F.lit(False)).alias("target"), "text")
+    texts = slots.keep("slices", sliced(rows))
+    groups = max(1, texts.count())
+    answers = slots.keep("answers", texts.mapInArrow(_asking(groups), ASKED).groupBy("grp").applyInArrow(_answer, ANSWERED))
+    sums = answers.agg(F.sum(F.get("tokens", F.lit(0))), F.sum(F.get("tokens", F.lit(1))), F.sum("n_words")).first()
+    id_type = docs.schema[id_col].dataType
+    schema = T.StructType([T.StructField(id_col, id_type), T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("target_loss", "background_loss", "difference"))])
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    scoring = _scoring(groups, [x or 0 for x in sums[:2]], sums[2] or 0, to_arrow_type(id_type), schema.names)
+    return texts.groupBy("slice").cogroup(answers.select("slice", "grp", "words", "pairs").groupBy("slice")).applyInArrow(scoring, schema)
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

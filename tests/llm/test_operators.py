@@ -6,7 +6,7 @@ import hashlib
 import os
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -548,40 +548,77 @@ def test_toxicity_without_labels(spark, awkward):
 # ---- language models
 
 
-def test_lm_scores_equal_brute_force(spark):
-    texts = {1: "a b a b c", 2: "a b b", 3: "c c d", 4: None, 5: "", 6: "a c d a"}
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("target", F.lit("mine"))
-    target = spark.createDataFrame([(1,), (2,), (2,), (None,)], "doc_id long")
-    got = {r["doc_id"]: r for r in lm_scoring.score(docs, target).collect()}
-    words = {i: (t or "").split() for i, t in texts.items()}
-    count = defaultdict(int)
-    for w in words.values():
-        for x in w:
-            count[x] += 1
-    vocab = ["?", "#", *sorted(x for x, n in count.items() if n >= 2)]
-    chains = {i: [1, *(vocab.index(x) if x in vocab else 0 for x in w), 1] for i, w in words.items()}
-    pairs = [defaultdict(int), defaultdict(int)]
-    for i, c in chains.items():
-        for p in zip(c, c[1:], strict=False):
-            pairs[i in (1, 2)][p] += 1
-    outright = {p for p in {*pairs[0], *pairs[1]} if pairs[0][p] + pairs[1][p] >= 2}
-
-    def loss(c, k):
-        n = len(vocab)
-        single = np.array([sum(v for (_, b), v in pairs[k].items() if b == w) + 1.0 for w in range(n)])
-        single /= single.sum()
-        total = 0.0
-        for a, b in zip(c, c[1:], strict=False):
-            whole = sum(v for (x, _), v in pairs[k].items() if x == a) + 1.0
-            kept = {y: max(pairs[k][(a, y)] - 0.5, 0) / whole for x, y in outright if x == a}
-            total -= np.log(kept.get(b, 0.0) + (1 - sum(kept.values())) * single[b])
-        return total / (len(c) - 1)
-
-    for i, c in chains.items():
-        assert got[i]["n_tokens"] == len(c) - 1
-        assert (got[i]["target_loss"], got[i]["background_loss"]) == pytest.approx((loss(c, 1), loss(c, 0)), rel=1e-5)
-        assert got[i]["difference"] == pytest.approx(got[i]["target_loss"] - got[i]["background_loss"])
-    assert lm_scoring.score(docs.limit(0), target).count() == 0
+def losses_by_hand(rows, chosen):
+    """Both mean losses of each (id, text), in order, by plain dictionaries: absolute discounting, own counts taken off."""
+    lines = [["#", *(t or "").lower().split(), "#"] for _, t in rows]
+    part = [0 if i in chosen else 1 for i, _ in rows]
+    pairs, words, own = [Counter(), Counter()], [Counter(), Counter()], []
+    for line, k in zip(lines, part, strict=True):
+        mine = Counter(zip(line, line[1:], strict=False))
+        own.append(mine)
+        pairs[k].update(mine)
+        words[k].update(line[:-1])
+    n = len({w for c in words for w in c})
+    successors = [defaultdict(set), defaultdict(set)]
+    for k in (0, 1):
+        for a, b in pairs[k]:
+            successors[k][a].add(b)
+    out = []
+    for line, k, mine in zip(lines, part, own, strict=True):
+        its, both = Counter(line[:-1]), []
+        for m in (0, 1):
+            off = (lambda x: x) if m == k else (lambda x: 0)
+            total = 0.0
+            for (a, b), times in mine.items():
+                whole = words[m][a] - off(its[a]) + 1
+                kinds = len(successors[m][a]) - sum(1 for y in {y for x, y in mine if x == a} if m == k and pairs[m][a, y] == mine[a, y])
+                single = (words[m][b] - off(its[b]) + 1) / (sum(words[m].values()) - off(len(line) - 1) + n)
+                seen = pairs[m][a, b] - off(times)
+                total -= times * np.log(max(seen - 0.5, 0) / whole + (1 + 0.5 * kinds) / whole * single)
+            both.append(total / (len(line) - 1))
+        out.append((len(line) - 1, *both))
+    return out
+
+
+@pytest.mark.parametrize("size", [12_000_000, 2_000, 8])
+def test_lm_scores_equal_brute_force(spark, monkeypatch, size):
+    monkeypatch.setattr(lm_scoring, "SLICE", size)
+    rng = np.random.default_rng(9)
+    common, rare = [f"w{i}" for i in range(12)], [f"r{i}" for i in range(900)]
+    rows = [(i, " ".join(rng.choice(common if i % 3 else rare[: 50 + i], size=rng.integers(0, 30)))) for i in range(150)]
+    rows += [(200, None), (201, ""), (202, " \t A b  c "), (202, " \t A b  c "), (None, "a b"), (203, "only here " * 40), (204, "É é a"), (5, "a second row of an id")]
+    # tasks make slices: the monkeypatched size reaches them with the function
+    docs = documents(spark, [(i, t, "s") for i, t in rows]).withColumnRenamed("n_chars", "difference").repartition(4)
+    chosen = {i for i in range(0, 205, 4)}
+    target = spark.createDataFrame([(i,) for i in [*chosen, 4, 4, 999_999, None]], "doc_id long")
+    got = sorted((r["doc_id"] or -1, r["n_tokens"], round(r["target_loss"], 9), round(r["background_loss"], 9), round(r["difference"], 9)) for r in lm_scoring.score(docs, target).collect())
+    want = sorted((i or -1 if i != 0 else -1, n, round(a, 9), round(b, 9), round(a - b, 9)) for (i, _), (n, a, b) in zip(rows, losses_by_hand(rows, chosen), strict=True))
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert np.allclose([x[2:] for x in got], [x[2:] for x in want], atol=1e-8)
+
+
+def test_lm_scores_of_none_and_of_one_part(spark):
+    docs = documents(spark, [(1, "a b a", "s"), (2, None, "s")])
+    assert lm_scoring.score(docs.limit(0), docs).count() == 0
+    for target in (docs, docs.limit(0)):
+        assert all(np.isfinite(r["difference"]) for r in lm_scoring.score(docs, target).collect())
+
+
+def test_a_rare_pair_of_the_target_counts(spark):
+    """Pairs of which a corpus of 2,000 texts has two or three tell the target's texts from texts of the same words."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(2000):
+        words = [f"v{x}" for x in rng.integers(0, 4000, size=30)]
+        rows.append((i, " ".join(words), "s"))
+    for j in range(60):  # three texts each share a run of eight rare pairs: two of the target, one that is to be found
+        run = [f"v{x}" for x in rng.integers(0, 4000, size=8)]
+        for m in range(3):
+            rows.append((3000 + 3 * j + m, " ".join([*(f"v{x}" for x in rng.integers(0, 4000, size=22)), *run]), "s"))
+    target = spark.createDataFrame([(3000 + 3 * j + m,) for j in range(60) for m in (0, 1)], "doc_id long")
+    got = {r["doc_id"]: r["difference"] for r in lm_scoring.score(documents(spark, rows), target).collect()}
+    planted, others = sorted(got[3000 + 3 * j + 2] for j in range(60)), sorted(got[i] for i in range(2000))
+    assert planted[-1] < others[0]
 
 
 # ---- chat
