@@ -89,16 +89,14 @@ def render(final: DataFrame, loss_role: str = "assistant") -> DataFrame:
     head = F.concat(F.lit(START), _escape_role(F.col("role")), F.lit("\n"))
     body, tail = escape(F.col("text")), F.lit(END + "\n")
     turn = final.select("conv_id", "turn", "part", F.concat(head, body, tail).alias("s"), F.length(head).alias("skip"), F.when(F.col("role") == loss_role, F.length(body)).alias("size"))
-    turn = turn.select("conv_id", F.struct(F.col("turn").isNotNull().alias("some"), "turn", "part", "s", "skip", "size").alias("t"))
-    whole = turn.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
-    spans = F.aggregate(
-        "t",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("out")),
-        lambda acc, t: F.struct(
-            (acc["at"] + F.length(t["s"])).alias("at"),
-            F.when(t["size"].isNotNull(), F.concat(acc["out"], F.array(F.struct((acc["at"] + t["skip"]).alias("start"), t["size"].alias("length"))))).otherwise(acc["out"]).alias("out"),
-        ),
-    )["out"]
+    order = ["some", "turn", "part", "s", "skip", "size"]
+    before = Window.partitionBy("conv_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    turn = turn.withColumn("some", F.col("turn").isNotNull())
+    turn = turn.withColumn("at", F.coalesce(F.sum(F.length("s")).over(before), F.lit(0)).cast("int"))
+    # the window has dealt and sorted turns by conversation already; running sums, so that many turns cost no more each
+    whole = turn.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(*order[:3], "at", *order[3:]))).alias("t"))
+    learnt = F.filter("t", lambda t: t["size"].isNotNull())
+    spans = F.transform(learnt, lambda t: F.struct((t["at"] + t["skip"]).alias("start"), t["size"].alias("length")))
     return whole.select("conv_id", F.array_join(F.transform("t", lambda t: t["s"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 

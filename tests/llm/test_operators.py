@@ -652,6 +652,21 @@ def test_rendering_round_trip(spark, text):
     assert r["formatted"].count("<|im_start|>") == 3 == r["formatted"].count("<|im_end|>")
 
 
+def test_rendering_time_is_in_proportion_to_turns(spark):
+    import time
+
+    def seconds(n):
+        turns = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit(1).alias("part"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("text "), "id").alias("text"))
+        began = time.time()
+        r = chat.render(turns).select(F.size("loss_spans").alias("n"), F.length("formatted").alias("size"), F.element_at("loss_spans", -1).alias("last")).first()
+        assert r["n"] == n // 2 and r["last"]["start"] + r["last"]["length"] + len("<|im_end|>\n") == r["size"]
+        return time.time() - began
+
+    seconds(1000)
+    few, many = min(seconds(10_000) for _ in range(2)), min(seconds(40_000) for _ in range(2))
+    assert many <= 4.5 * max(few, 0.2)
+
+
 def test_chat_query(spark, tmp_path):
     rows = [(1, 1, "assistant", "B"), (1, 0, "user", "A"), (2, 0, "assistant", None), (3, 5, "assistant", "x"), (3, 5, "assistant", "x"), (None, 0, "user", "q")]
     sf = write(spark, tmp_path, conversations=spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
