@@ -26,7 +26,7 @@ from lumispark.llm.common import Slots, lean, slices, split_words, table
 
 DISCOUNT = 0.5
 #: Bytes of text of a slice; a longer document is one by itself.
-SLICE = 12_000_000
+SLICE = 8_000_000
 #: The edge of a text, as a word's hash. Words go by hashes of 64 bits.
 EDGE = np.uint64(1)
 
@@ -90,7 +90,13 @@ class Pairs:
 
 
 def _numbers(x: np.ndarray, kind: str) -> bytes:
-    return x.astype(kind).tobytes()
+    """Whole numbers by place of their bytes, all lowest ones first: most are small, and the rest is zeros, which compress."""
+    own = np.ascontiguousarray(x, dtype=kind).reshape(-1)
+    return own.view(np.uint8).reshape(len(own), -1).T.tobytes() if len(own) else b""
+
+
+def _read(data: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
 def _asking(groups: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -118,12 +124,12 @@ def _answer(key: tuple, asked: pa.Table) -> pa.Table:
     """What all slices together have of a group's pairs, to each slice in the order that it asked in: of its first words the
     counts and the numbers of distinct words behind them, of its pairs the counts, target and background."""
     rows = asked.to_pylist()
-    read = lambda c, kind: [np.frombuffer(r[c], dtype=kind) for r in rows]
-    words, many, second = read("first", "<u8"), read("many", "<u4"), read("second", "<u8")
+    counts = lambda c: np.concatenate([_read(r[c], "<u4") for r in rows])
+    words, second = ([np.frombuffer(r[c], dtype="<u8") for r in rows] for c in ("first", "second"))
     firsts, a = np.unique(np.concatenate(words), return_inverse=True)
     seconds, b = np.unique(np.concatenate(second), return_inverse=True)
-    code, at = np.unique(np.repeat(a, np.concatenate(many)) * len(seconds) + b, return_inverse=True)
-    seen = np.stack([np.bincount(at, weights=np.concatenate(read(c, "<u4")), minlength=len(code)) for c in ("target", "background")]).astype(np.int64)
+    code, at = np.unique(np.repeat(a, counts("many")) * len(seconds) + b, return_inverse=True)
+    seen = np.stack([np.bincount(at, weights=counts(c), minlength=len(code)) for c in ("target", "background")]).astype(np.int64)
     first = code // len(seconds)
     stats = np.stack([f for s in seen for f in (np.bincount(first, weights=s, minlength=len(firsts)), np.bincount(first[s > 0], minlength=len(firsts)))]).astype(np.int64)
     out, w, p = [], 0, 0
@@ -172,8 +178,8 @@ def _scoring(groups: int, tokens: list[int], n_words: int, id_type: pa.DataType,
         stats, seen = np.zeros((4, len(own.words)), dtype=np.int64), np.zeros((2, len(own.code)), dtype=np.int64)
         for r in answers.to_pylist():
             at = order[edges[r["grp"]] : edges[r["grp"] + 1]]
-            seen[:, at] = np.frombuffer(r["pairs"], dtype="<u4").reshape(2, -1)
-            stats[:, np.unique(own.code[at] // len(own.words))] = np.frombuffer(r["words"], dtype="<i8").reshape(4, -1)
+            seen[:, at] = _read(r["pairs"], "<u4").reshape(2, -1)
+            stats[:, np.unique(own.code[at] // len(own.words))] = _read(r["words"], "<i8").reshape(4, -1)
         mean = losses(own, target, stats, seen, tokens, n_words)
         return pa.Table.from_arrays([ids.cast(id_type), *map(pa.array, (own.tokens, *mean, mean[0] - mean[1]))], names=names)
 
