@@ -132,7 +132,7 @@ both_ AS (
   SELECT user_id, epoch_index + 1000000000, observation_time, magnitude, magnitude_error, part
   FROM base QUALIFY user_id % 31 = 0 AND row_number() OVER (PARTITION BY user_id ORDER BY epoch_index) = 1),
 flat AS (
-  SELECT 'OBJ-' || lpad(user_id::VARCHAR, greatest(6, length(user_id::VARCHAR)), '0') AS object_id, user_id, r::BIGINT AS light_curve_revision, epoch_index, observation_time, magnitude, magnitude_error
+  SELECT 'OBJ-' || lpad(user_id::VARCHAR, greatest(6, length(user_id::VARCHAR))::INT, '0') AS object_id, user_id, r::BIGINT AS light_curve_revision, epoch_index, observation_time, magnitude, magnitude_error
   FROM both_, range(1, 6) t(r) WHERE r >= part AND NOT (user_id % 5 = 0 AND r < 3)),
 revs AS (
   SELECT object_id, user_id, light_curve_revision, count(*) AS n, count(*) + CASE WHEN user_id % 29 = 0 AND light_curve_revision = 3 THEN 1 ELSE 0 END AS declared
