@@ -11,6 +11,7 @@ them; a slice then scores its documents with what it was answered. What a task h
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lumispark.llm.common import Slots, lean, slices, split_words, table
 
@@ -199,14 +201,15 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     chosen = target.select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct().withColumn("target", F.lit(True))
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(chosen.hint("merge"), id_col, "left")
     rows = rows.select(F.col(id_col).alias("id"), F.coalesce("target", F.lit(False)).alias("target"), "text")
-    texts = slots.keep("slices", sliced(rows))
+    # a table in buckets of the slice: texts are read twice where they lie, and only answers are shuffled to them
+    name = f"slices_{uuid.uuid4().hex}"
+    sliced(rows).write.option("path", f"{slots.folder}/slices").option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "slice").saveAsTable(name)
+    texts = spark.table(name)
     groups = max(1, texts.count())
     answers = slots.keep("answers", texts.mapInArrow(_asking(groups), ASKED).groupBy("grp").applyInArrow(_answer, ANSWERED))
     sums = answers.agg(F.sum(F.get("tokens", F.lit(0))), F.sum(F.get("tokens", F.lit(1))), F.sum("n_words")).first()
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, id_type), T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("target_loss", "background_loss", "difference"))])
-    from pyspark.sql.pandas.types import to_arrow_type
-
     scoring = _scoring(groups, [x or 0 for x in sums[:2]], sums[2] or 0, to_arrow_type(id_type), schema.names)
     return texts.groupBy("slice").cogroup(answers.select("slice", "grp", "words", "pairs").groupBy("slice")).applyInArrow(scoring, schema)
 
