@@ -12,7 +12,7 @@ import __spark_entry__ as entry
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
 #: A query of each kind; the rest share their parts.
-NAMES = ["job_run_ids", "candidate_validation", "candidate_dlq", "light_curve_status", "model_inputs", "coarse_mode_selection", "classified", "result_validation", "save_outcomes", "current_classification", "consumer_lag", "latency_quantile", "error_ratio_alert", "light_curve_files", "stream_candidates", "stream_results", "stream_alerts", "stream_commands", "stream_replay", "result_dlq", "run_build_check", "executed_only", "bundle_misses", "funnel_from_candidates", "request_labels", "sample_rates", "sample_quantiles", "stream_current", "stream_crash", "stream_worker", "stream_resumed", "stream_error_alerts", "stream_new_series", "compatible_coarse_stored", "key_share", "result_rungs", "constraint_names", "output_errors", "string_rule"]
+NAMES = ["job_run_ids", "candidate_validation", "candidate_dlq", "light_curve_status", "model_inputs", "coarse_mode_selection", "classified", "result_validation", "save_outcomes", "current_classification", "consumer_lag", "latency_quantile", "error_ratio_alert", "light_curve_files", "stream_candidates", "stream_results", "stream_alerts", "stream_commands", "stream_replay", "result_dlq", "run_build_check", "executed_only", "bundle_misses", "funnel_from_candidates", "request_labels", "sample_rates", "sample_quantiles", "stream_current", "stream_crash", "stream_worker", "stream_resumed", "stream_new_series", "compatible_coarse_stored", "key_share", "result_rungs", "constraint_names", "output_errors", "string_rule"]
 
 
 def canonical(df):
