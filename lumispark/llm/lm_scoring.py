@@ -28,7 +28,7 @@ from lumispark.llm.common import Slots, lean, slices, split_words, table
 
 DISCOUNT = 0.5
 #: Bytes of text of a slice; a longer document is one by itself.
-SLICE = 8_000_000
+SLICE = 4_000_000
 #: The edge of a text, as a word's hash. Words go by hashes of 64 bits.
 EDGE = np.uint64(1)
 
