@@ -1,7 +1,8 @@
 """A corpus pipeline: five stages, each by one of the training-data operators, over all that the stage before it kept.
 
 Every stage but the last returns the columns of documents (doc_id, text, lang, source, n_chars). The runner writes a
-stage's rows as Parquet and reads them again for the next one, so a stage can be taken up anew by itself.
+stage's rows as Parquet and reads them again for the next one, so a stage can be taken up anew by itself. Stages with
+Python workers limit the bytes of the session's Arrow batches, if the user has not (``small_batches``).
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumispark.llm import mixing, packing, secrets, simhash, toxicity
-from lumispark.llm.common import shared_folder, table
+from lumispark.llm.common import shared_folder, small_batches, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -25,6 +26,7 @@ def _documents(df: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that are likelier toxic than not; null and empty texts are scored like others."""
+    small_batches(spark)
     scored = toxicity.score(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
     return scored.where("score < 0.5").select(*COLUMNS)
 
@@ -33,6 +35,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group: five-word shingles, similarity 0.8 or more; the one with the smallest id stays.
 
     Texts without words are equal to each other. Of rows that agree in id and words one stays."""
+    small_batches(spark)
     return simhash.near_unique(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
@@ -49,6 +52,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences: a row for each, of all documents that the mix holds."""
+    small_batches(spark)
     return packing.pack_harmonic(docs.select("doc_id", "text"), with_ids=False)
 
 

@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of the Arrow batches that carry texts to Python workers, and the session setting that holds them.
+BATCH, BATCH_BYTES = 2 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,6 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to the session's Python workers some BATCH bytes at a time, unless the user has set another limit.
+
+    By default a batch is 10,000 rows of up to 64 MB, so a task's whole texts: the JVM builds it in buffers that double as
+    they grow, the worker holds it once more. Buffers of that size also stay in the JVM's native heap when they are free.
+    How rows are dealt to batches changes no result. It is a setting of the session as Spark reads it when a query runs."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, str(BATCH))
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

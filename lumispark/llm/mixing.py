@@ -13,6 +13,7 @@ from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -106,7 +107,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     blocks = [-(-n // block) for n in sizes]
     slots = [w * b / n if n else 0.0 for w, b, n in zip(want, blocks, sizes, strict=True)]
     listed = [(r[source_col], i, n, w, max(1, b), n // max(1, b), n % max(1, b)) for i, (r, n, w, b) in enumerate(zip(totals, sizes, want, blocks, strict=True))]
-    names = spark.createDataFrame(listed, "name string, source_no int, source_size long, target double, blocks long, short long, longer long")
+    # as an Arrow table: for a list Spark would start Python workers of another kind, which then stay beside those of Arrow
+    kinds = {"name": pa.string(), "source_no": pa.int32(), "source_size": pa.int64(), "target": pa.float64(), "blocks": pa.int64(), "short": pa.int64(), "longer": pa.int64()}
+    names = spark.createDataFrame(pa.table({c: pa.array([r[i] for r in listed], type=kind) for i, (c, kind) in enumerate(kinds.items())}))
     names = F.broadcast(names) if len(listed) <= FEW else names
     rows = rows.join(names, rows[source_col].eqNullSafe(names["name"])).drop("name")
 

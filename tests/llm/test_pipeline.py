@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pytest
+
 import corpus_pipeline as pipeline
+from lumispark.llm import mixing
+from lumispark.llm.common import BATCH, BATCH_BYTES
 from tests.llm.test_operators import documents, toxic_corpus, write
 
 
@@ -30,3 +35,34 @@ def test_empty_table(spark, tmp_path):
     docs, labels = documents(spark, []), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     sf = write(spark, tmp_path, documents=docs, labels=labels)
     assert pipeline.run(spark, sf).count() == 0
+
+
+def _batches(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["size"])
+
+
+@pytest.mark.parametrize("given", [None, "16m"])
+def test_python_workers_get_texts_a_few_bytes_at_a_time(spark, tmp_path, given):
+    own = spark.newSession()  # its settings end with it
+    own.conf.unset(BATCH_BYTES)
+    if given:
+        own.conf.set(BATCH_BYTES, given)
+    documents(spark, [(i, f"w{i} " * 5000, "s") for i in range(400)]).coalesce(1).write.parquet(f"{tmp_path}/in")
+    docs = own.read.parquet(f"{tmp_path}/in").coalesce(1)
+    whole = own.conf.get(BATCH_BYTES)
+    packed = sorted(tuple(r) for r in pipeline.pack(own, docs, "").collect())
+    sizes = [r["size"] for r in docs.mapInArrow(_batches, "size long").collect()]
+    if given:
+        assert own.conf.get(BATCH_BYTES) == given and len(sizes) == 1  # the user's limit stays
+    else:
+        assert sum(sizes) > 4 * BATCH and max(sizes) < 1.1 * BATCH
+        other = spark.newSession()
+        other.conf.set(BATCH_BYTES, whole)
+        assert packed == sorted(tuple(r) for r in pipeline.pack(other, other.read.parquet(f"{tmp_path}/in").coalesce(1), "").collect())
+
+
+def test_mixing_starts_no_workers_for_its_table_of_sources(spark, capsys):
+    mixing.mix(documents(spark, [(i, "one two three", f"s{i % 3}") for i in range(30)]))[1].explain()
+    plan = capsys.readouterr().out
+    assert "LocalTableScan" in plan and "source_size" not in "".join(x for x in plan.splitlines() if "ExistingRDD" in x) and "blocks" not in "".join(x for x in plan.splitlines() if "ExistingRDD" in x)
