@@ -37,7 +37,7 @@ ANSWERED = "grp int, slice long, words binary, pairs binary, tokens array<long>,
 
 
 def sliced(docs: DataFrame) -> DataFrame:
-    """(slice, ids, targets, texts): documents (id, target, text) in rows of some SLICE bytes; null texts as empty ones."""
+    """(slice, ids, texts): documents (id, text) in rows of some SLICE bytes, where they lie; null texts as empty ones."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,9 +46,9 @@ def sliced(docs: DataFrame) -> DataFrame:
         def row() -> pa.RecordBatch:
             nonlocal number
             part = pa.concat_tables(held).combine_chunks()
-            listed = [pa.ListArray.from_arrays(pa.array([0, len(part)], type=pa.int32()), part[c].chunk(0)) for c in ("id", "target", "text")]
+            listed = [pa.ListArray.from_arrays(pa.array([0, len(part)], type=pa.int32()), part[c].chunk(0)) for c in ("id", "text")]
             number += 1
-            return pa.RecordBatch.from_arrays([pa.array([number - 1]), *listed], names=["slice", "ids", "targets", "texts"])
+            return pa.RecordBatch.from_arrays([pa.array([number - 1]), *listed], names=["slice", "ids", "texts"])
 
         for batch in batches:
             for a, b in slices(batch["text"], SLICE // 8):
@@ -61,8 +61,15 @@ def sliced(docs: DataFrame) -> DataFrame:
             yield row()
 
     kind = docs.schema["id"].dataType.simpleString()
-    docs = docs.select("id", "target", F.coalesce("text", F.lit("")).alias("text"))
-    return docs.mapInArrow(run, f"slice long, ids array<{kind}>, targets array<boolean>, texts array<string>")
+    docs = docs.select("id", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.mapInArrow(run, f"slice long, ids array<{kind}>, texts array<string>")
+
+
+def _targets(places: pa.Array, n: int) -> np.ndarray:
+    """Of n texts of a slice, which are the target's: those at places, which is null where none is."""
+    out = np.zeros(n, dtype=bool)
+    out[places.flatten().to_numpy(zero_copy_only=False)] = True
+    return out
 
 
 class Pairs:
@@ -106,8 +113,8 @@ def _asking(groups: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                texts, target = batch["texts"].slice(i, 1).flatten(), batch["targets"].slice(i, 1).flatten().to_numpy(zero_copy_only=False).astype(bool)
-                own = Pairs(texts)
+                texts = batch["texts"].slice(i, 1).flatten()
+                target, own = _targets(batch["places"].slice(i, 1), len(texts)), Pairs(texts)
                 both = np.stack([np.bincount(own.at[target[own.doc] == k], minlength=len(own.code)) for k in (True, False)])
                 order, edges = own.dealt(groups)
                 out = []
@@ -173,9 +180,8 @@ def losses(own: Pairs, target: np.ndarray, stats: np.ndarray, seen: np.ndarray,
 
 def _scoring(groups: int, tokens: list[int], n_words: int, id_type: pa.DataType, names: list[str]) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
     def score(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
-        ids, target, text = (pa.concat_arrays([c.flatten() for c in texts[x].chunks]) for x in ("ids", "targets", "texts"))
-        target = target.to_numpy(zero_copy_only=False).astype(bool)
-        own = Pairs(text)
+        ids, text = (pa.concat_arrays([c.flatten() for c in texts[x].chunks]) for x in ("ids", "texts"))
+        target, own = _targets(pa.concat_arrays(texts["places"].chunks), len(text)), Pairs(text)
         order, edges = own.dealt(groups)
         stats, seen = np.zeros((4, len(own.words)), dtype=np.int64), np.zeros((2, len(own.code)), dtype=np.int64)
         for r in answers.to_pylist():
@@ -198,20 +204,22 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     """
     spark = docs.sparkSession
     slots = Slots(spark)
-    chosen = target.select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct().withColumn("target", F.lit(True))
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(chosen.hint("merge"), id_col, "left")
-    rows = rows.select(F.col(id_col).alias("id"), F.coalesce("target", F.lit(False)).alias("target"), "text")
-    # a table in buckets of the slice: texts are read twice where they lie, and only answers are shuffled to them
+    # a table in buckets of the slice: texts are never shuffled, only what is asked of them and answered, and their places
     name = f"slices_{uuid.uuid4().hex}"
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sliced(rows).write.option("path", f"{slots.folder}/slices").option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "slice").saveAsTable(name)
     texts = spark.table(name)
+    chosen = target.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull()).distinct()
+    places = texts.select("slice", F.posexplode("ids").alias("place", "id")).join(chosen.hint("merge"), "id")
+    places = slots.keep("places", places.groupBy("slice").agg(F.collect_list("place").alias("places")))
+    marked = texts.join(places.hint("shuffle_hash"), "slice", "left")
     groups = max(1, texts.count())
-    answers = slots.keep("answers", texts.mapInArrow(_asking(groups), ASKED).groupBy("grp").applyInArrow(_answer, ANSWERED))
+    answers = slots.keep("answers", marked.select("slice", "texts", "places").mapInArrow(_asking(groups), ASKED).groupBy("grp").applyInArrow(_answer, ANSWERED))
     sums = answers.agg(F.sum(F.get("tokens", F.lit(0))), F.sum(F.get("tokens", F.lit(1))), F.sum("n_words")).first()
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, id_type), T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("target_loss", "background_loss", "difference"))])
     scoring = _scoring(groups, [x or 0 for x in sums[:2]], sums[2] or 0, to_arrow_type(id_type), schema.names)
-    return texts.groupBy("slice").cogroup(answers.select("slice", "grp", "words", "pairs").groupBy("slice")).applyInArrow(scoring, schema)
+    return marked.groupBy("slice").cogroup(answers.select("slice", "grp", "words", "pairs").groupBy("slice")).applyInArrow(scoring, schema)
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
