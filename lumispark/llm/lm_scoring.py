@@ -5,7 +5,7 @@ vocabulary (all words), one order, one discount; only the counts differ. The tar
 label, the background's over all others. A document is scored by counts from which its own are taken off.
 
 No count is left out, and none comes to the driver. Documents are dealt to slices; a slice asks for its distinct pairs, dealt
-by first word to as many groups as there are slices; a group adds up what all slices have of a pair and answers each of
+by first word to about as many groups as there are slices; a group adds up what all slices have of a pair and answers each of
 them; a slice then scores its documents with what it was answered. What a task holds is about a slice, at every size.
 """
 
@@ -33,11 +33,11 @@ SLICE = 4_000_000
 EDGE = np.uint64(1)
 
 ASKED = "grp int, slice long, first binary, many binary, second binary, target binary, background binary"
-ANSWERED = "grp int, slice long, words binary, pairs binary, tokens array<long>, n_words long"
+ANSWERED = "grp int, slice long, words binary, pairs binary, totals array<long>"
 
 
 def sliced(docs: DataFrame) -> DataFrame:
-    """(slice, ids, texts): documents (id, text) in rows of some SLICE bytes, where they lie; null texts as empty ones."""
+    """(slice, size, ids, texts): documents (id, text) in rows of some SLICE bytes, where they lie; null texts as empty ones."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,7 +48,7 @@ def sliced(docs: DataFrame) -> DataFrame:
             part = pa.concat_tables(held).combine_chunks()
             listed = [pa.ListArray.from_arrays(pa.array([0, len(part)], type=pa.int32()), part[c].chunk(0)) for c in ("id", "text")]
             number += 1
-            return pa.RecordBatch.from_arrays([pa.array([number - 1]), *listed], names=["slice", "ids", "texts"])
+            return pa.RecordBatch.from_arrays([pa.array([number - 1]), pa.array([size]), *listed], names=["slice", "size", "ids", "texts"])
 
         for batch in batches:
             for a, b in slices(batch["text"], SLICE // 8):
@@ -62,7 +62,7 @@ def sliced(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["id"].dataType.simpleString()
     docs = docs.select("id", F.coalesce("text", F.lit("")).alias("text"))
-    return docs.mapInArrow(run, f"slice long, ids array<{kind}>, texts array<string>")
+    return docs.mapInArrow(run, f"slice long, size long, ids array<{kind}>, texts array<string>")
 
 
 def _targets(places: pa.Array, n: int) -> np.ndarray:
@@ -119,10 +119,9 @@ def _asking(groups: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 order, edges = own.dealt(groups)
                 out = []
                 for g, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-                    if a < b:
-                        first, second = np.divmod(own.code[order[a:b]], len(own.words))
-                        words, many = np.unique(first, return_counts=True)
-                        out.append((g, batch["slice"][i].as_py(), own.words[words].tobytes(), _numbers(many, "<u4"), own.words[second].tobytes(), *(_numbers(x[order[a:b]], "<u4") for x in both)))
+                    first, second = np.divmod(own.code[order[a:b]], len(own.words))
+                    words, many = np.unique(first, return_counts=True)
+                    out.append((g, batch["slice"][i].as_py(), own.words[words].tobytes(), _numbers(many, "<u4"), own.words[second].tobytes(), *(_numbers(x[order[a:b]], "<u4") for x in both)))
                 types = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[c.split()[0] for c in ASKED.split(", ")])
 
@@ -131,7 +130,8 @@ def _asking(groups: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
 def _answer(key: tuple, asked: pa.Table) -> pa.Table:
     """What all slices together have of a group's pairs, to each slice in the order that it asked in: of its first words the
-    counts and the numbers of distinct words behind them, of its pairs the counts, target and background."""
+    counts and the numbers of distinct words behind them, of its pairs the counts, target and background. With it go the
+    group's tokens, target and background, and words; every slice asks every group, so that it can add them up."""
     rows = asked.to_pylist()
     counts = lambda c: np.concatenate([_read(r[c], "<u4") for r in rows])
     words, second = ([np.frombuffer(r[c], dtype="<u8") for r in rows] for c in ("first", "second"))
@@ -139,14 +139,14 @@ def _answer(key: tuple, asked: pa.Table) -> pa.Table:
     seconds, b = np.unique(np.concatenate(second), return_inverse=True)
     code, at = np.unique(np.repeat(a, counts("many")) * len(seconds) + b, return_inverse=True)
     seen = np.stack([np.bincount(at, weights=counts(c), minlength=len(code)) for c in ("target", "background")]).astype(np.int64)
-    first = code // len(seconds)
+    first = code // max(1, len(seconds))
     stats = np.stack([f for s in seen for f in (np.bincount(first, weights=s, minlength=len(firsts)), np.bincount(first[s > 0], minlength=len(firsts)))]).astype(np.int64)
-    out, w, p = [], 0, 0
+    totals, out, w, p = [*seen.sum(axis=1).tolist(), len(firsts)], [], 0, 0
     for i, r in enumerate(rows):
         own, its = a[w : w + len(words[i])], at[p : p + len(second[i])]
         w, p = w + len(own), p + len(its)
-        out.append((r["grp"], r["slice"], _numbers(stats[:, own], "<i8"), _numbers(seen[:, its], "<u4"), seen.sum(axis=1).tolist() if i == 0 else [0, 0], len(firsts) if i == 0 else 0))
-    types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64()]
+        out.append((r["grp"], r["slice"], _numbers(stats[:, own], "<i8"), _numbers(seen[:, its], "<u4"), totals))
+    types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
     return pa.Table.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[c.split()[0] for c in ANSWERED.split(", ")])
 
 
@@ -178,13 +178,15 @@ def losses(own: Pairs, target: np.ndarray, stats: np.ndarray, seen: np.ndarray,
     return out / own.tokens
 
 
-def _scoring(groups: int, tokens: list[int], n_words: int, id_type: pa.DataType, names: list[str]) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+def _scoring(groups: int, id_type: pa.DataType, names: list[str]) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
     def score(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
         ids, text = (pa.concat_arrays([c.flatten() for c in texts[x].chunks]) for x in ("ids", "texts"))
         target, own = _targets(pa.concat_arrays(texts["places"].chunks), len(text)), Pairs(text)
         order, edges = own.dealt(groups)
         stats, seen = np.zeros((4, len(own.words)), dtype=np.int64), np.zeros((2, len(own.code)), dtype=np.int64)
-        for r in answers.to_pylist():
+        rows = answers.to_pylist()
+        *tokens, n_words = np.sum([r["totals"] for r in rows], axis=0).tolist()
+        for r in rows:
             at = order[edges[r["grp"]] : edges[r["grp"] + 1]]
             seen[:, at] = _read(r["pairs"], "<u4").reshape(2, -1)
             stats[:, np.unique(own.code[at] // len(own.words))] = _read(r["words"], "<i8").reshape(4, -1)
@@ -200,7 +202,8 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     target: ids of the target's documents. A token is a word, or the end of the text; null and empty texts have the end
     alone. Repeated rows are counted and scored as often as they are there, each with its own counts taken off; repeated
     ids in target count once. An empty target, or one that is all, gives differences all the same: the models are
-    smoothed. Extra columns are left out, so none clashes. No rows: none. To the driver come three numbers.
+    smoothed. Extra columns are left out, so none clashes. No rows: none. To the driver come two numbers.
+    Texts are laid out at once; what is asked, answered and scored is computed when the result is read, each time.
     """
     spark = docs.sparkSession
     slots = Slots(spark)
@@ -213,13 +216,13 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     places = texts.select("slice", F.posexplode("ids").alias("place", "id")).join(chosen.hint("merge"), "id")
     places = slots.keep("places", places.groupBy("slice").agg(F.collect_list("place").alias("places")))
     marked = texts.join(places.hint("shuffle_hash"), "slice", "left")
-    groups = max(1, texts.count())
-    answers = slots.keep("answers", marked.select("slice", "texts", "places").mapInArrow(_asking(groups), ASKED).groupBy("grp").applyInArrow(_answer, ANSWERED))
-    sums = answers.agg(F.sum(F.get("tokens", F.lit(0))), F.sum(F.get("tokens", F.lit(1))), F.sum("n_words")).first()
+    n_slices, size = texts.agg(F.count("*"), F.sum("size")).first()
+    groups = max(1, min(n_slices, (size or 0) // SLICE))
+    answers = marked.select("slice", "texts", "places").mapInArrow(_asking(groups), ASKED).groupBy("grp").applyInArrow(_answer, ANSWERED)
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, id_type), T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("target_loss", "background_loss", "difference"))])
-    scoring = _scoring(groups, [x or 0 for x in sums[:2]], sums[2] or 0, to_arrow_type(id_type), schema.names)
-    return marked.groupBy("slice").cogroup(answers.select("slice", "grp", "words", "pairs").groupBy("slice")).applyInArrow(scoring, schema)
+    scoring = _scoring(groups, to_arrow_type(id_type), schema.names)
+    return marked.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(scoring, schema)
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -636,6 +636,19 @@ def test_lm_scoring_shuffles_no_texts(spark):
     assert written() - before < 500_000
 
 
+def test_lm_scoring_stores_its_texts_alone(spark):
+    """What slices ask and are answered is far more than texts of short words; it is shuffled and kept nowhere besides."""
+    rng = np.random.default_rng(8)
+    docs = documents(spark, [(i, " ".join(map(str, rng.integers(0, 3000, size=300))), "s") for i in range(400)])
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared))
+    assert lm_scoring.score(docs, docs.where("doc_id % 3 = 0")).count() == 400
+    stored = Counter()
+    for folder, _, files in (x for new in set(os.listdir(shared)) - before for x in os.walk(f"{shared}/{new}")):
+        stored[os.path.basename(folder) == "slices"] += sum(os.path.getsize(f"{folder}/{f}") for f in files)
+    assert stored[True] > 100_000 and stored[False] < 20_000
+
+
 # ---- chat
 
 
