@@ -6,7 +6,8 @@ label, the background's over all others. A document is scored by counts from whi
 
 No count is left out, and none comes to the driver. Documents are dealt to slices; a slice asks for its distinct pairs, dealt
 by first word to about as many groups as there are slices; a group adds up what all slices have of a pair and answers each of
-them; a slice then scores its documents with what it was answered. What a task holds is about a slice, at every size.
+them; a slice then scores its documents with what it was answered. What a task holds is about a slice, but for
+the group of a very frequent first word: its distinct pairs of every slice meet there.
 """
 
 from __future__ import annotations
