@@ -133,7 +133,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
     ranked = schedule(spark, slots).join(F.broadcast(names.select("source_no", "blocks")) if len(listed) <= FEW else names.select("source_no", "blocks"), "source_no")
     ranked = ranked.select("source_no", "slot", F.floor(F.col("rank") / F.col("blocks")).alias("pass"), F.pmod("rank", "blocks").alias("block")).where(F.col("pass") < most)
-    placed = ranked.join(cells, ["source_no", "block"]).select("row", "slot", "pass", "start", "length")
+    # Spark takes the slots for as few as the chunks that they are made from, and would send them all through the driver
+    placed = ranked.hint("merge").join(cells, ["source_no", "block"]).select("row", "slot", "pass", "start", "length")
     return rows.select("row", id_col, source_col, "size", "source_size", "target"), placed
 
 

@@ -84,6 +84,19 @@ def test_mixing(spark, tmp_path):
     assert sorted(map(str, again.values.tolist())) == sorted(map(str, got.values.tolist()))
 
 
+def test_mixing_sends_no_slots_through_the_driver(spark, capsys):
+    own = spark.newSession()  # its settings end with it
+    own.conf.set("spark.sql.adaptive.enabled", "false")
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", "2k")  # the documents are above it, the range of chunks is not
+    docs = documents(own, [(i, " ".join(["w"] * 640), f"s{i % 3}") for i in range(900)])
+    rows, placed = mixing.mix(docs)
+    slots = placed.select("slot").distinct().count()
+    assert slots == pytest.approx(9000, abs=30) and slots * 20 > 2048
+    placed.explain()
+    joins = [x for x in capsys.readouterr().out.splitlines() if "Join" in x and "block#" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
+
+
 def test_mixing_takes_texts_and_nothing_of_an_empty_table(spark, tmp_path, empty):
     sf = write(spark, tmp_path, documents=documents(spark, [(i, f"a{i} b{i} c{i}", "xy"[i % 2]) for i in range(90)]))
     docs = spark.read.parquet(f"{sf}/documents.parquet")
