@@ -1,4 +1,4 @@
-"""Queries that run the streams with typed state and timers over files, and must give what the batch gives."""
+"""Queries that run the streams with state by key or window over files, and must give what the batch gives."""
 
 from __future__ import annotations
 
@@ -16,29 +16,31 @@ from lumispark.streaming import state
 DAY = 86_400
 
 
-def _in_parts(spark: SparkSession, rows: DataFrame, parts: list, name: str, make: Callable[[DataFrame], DataFrame], restart: bool = False) -> DataFrame:
-    """What a stream gives out over rows that arrive in parts (conditions), a batch each. ``restart``: the stream ends after
-    each part and is started again from its checkpoint."""
+def _in_parts(spark: SparkSession, rows: DataFrame, parts: list, name: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream gives out over rows that arrive in parts (conditions), a batch each. A part is written by all tasks, in as
+    many files as they make; the stream ends after it has taken them, and is started again from its checkpoint for the next.
+    Before it ends, a batch without rows gives out what the watermark has passed by then, so that state stays small."""
     session, folder = state.stateful_session(spark), own_folder(spark, name)
-    stream = lambda: session.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     for part in parts:
-        rows.where(part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-        if restart or part is parts[-1]:
-            writer = make(stream()).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out")
-            writer.trigger(availableNow=True).start().awaitTermination()
+        rows.where(part).write.mode("append").parquet(f"{folder}/in")
+        stream = session.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        writer = make(stream).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out")
+        writer.trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out")
 
 
 def _out_of_order(rows: DataFrame, days: int = 8, jitter: int = 2) -> tuple[DataFrame, list]:
     """Rows (ts, id) with ``part``: parts of some days, each row up to ``jitter`` days late; and the parts' conditions, in
-    order. The last part is a row of null keys far ahead, which lets the watermark pass all windows before it."""
+    order. The last part is a row of null keys far ahead, which lets the watermark pass all windows before it. Rows are
+    stored by part, so that one part's arrival reads no other's rows."""
     late = F.pmod(F.xxhash64("id"), F.lit(jitter * DAY))
-    rows = rows.withColumn("part", F.floor((F.unix_timestamp("ts") + late) / (days * DAY)))
-    rows = materialised(rows.drop("id"))
-    last = rows.agg(F.max("ts").alias("ts"), F.max("part").alias("part")).select((F.col("ts") + F.expr("interval 60 days")).alias("ts"), (F.col("part") + 1).alias("part"))
-    rows = rows.unionByName(last, allowMissingColumns=True)
+    rows = rows.withColumn("part", F.floor((F.unix_timestamp("ts") + late) / (days * DAY))).drop("id")
+    folder = own_folder(rows.sparkSession, "arrivals")
+    rows.write.partitionBy("part").parquet(folder)
+    rows = rows.sparkSession.read.schema(rows.schema).parquet(folder)
     parts = sorted(r["part"] for r in rows.select("part").distinct().collect())
-    return rows, [F.col("part") == p for p in parts]
+    last = materialised(rows.agg(F.max("ts").alias("ts"), F.max("part").alias("part")).select((F.col("ts") + F.expr("interval 60 days")).alias("ts"), (F.col("part") + 1).alias("part")))
+    return rows.unionByName(last, allowMissingColumns=True), [F.col("part") == p for p in [*parts, max(parts, default=0) + 1]]
 
 
 def stream_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +50,7 @@ def stream_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = materialised(R.current_pointers(runs.where("light_curve_revision <= 2")).select("object_id", "run_id", "light_curve_revision"))
     user = derive.user_of(F.col("object_id"))
     rows = runs.where((F.col("light_curve_revision") > 2) | (user % 2 == 0)).select("object_id", "run_id", "light_curve_revision", F.pmod(F.xxhash64("run_id"), F.lit(3)).alias("part"))
-    moves = _in_parts(spark, materialised(rows), [F.col("part") == p for p in range(3)], "resumed", lambda s: state.current_from(s, before), restart=True)
+    moves = _in_parts(spark, materialised(rows), [F.col("part") == p for p in range(3)], "resumed", lambda s: state.current_from(s, before))
     once = (F.count("*") == F.count_distinct("light_curve_revision")).alias("each_once")
     return before.unionByName(moves).groupBy("object_id").agg(F.max_by("run_id", "light_curve_revision").alias("run_id"), F.max("light_curve_revision").alias("light_curve_revision"), once)
 

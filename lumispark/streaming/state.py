@@ -1,5 +1,5 @@
-"""Streams with typed state by key and event-time timers: current pointers from an initial state, alerts that hold and clear,
-series that come and go.
+"""Streams with typed state by key and event-time timers: current pointers from an initial state, alerts that hold and clear;
+and series that come and go, by window alone.
 
 They need the RocksDB state store; ``stateful_session`` gives a session that has it. Windows are summed by Spark before any
 key's state is met, so a hot series costs a row a window there, and samples that come out of order are in their window if
@@ -122,12 +122,6 @@ class _Held(_Windows):
         return [(last[0] + self.step, "cleared")] if last[2] else []
 
 
-class _Presence(_Windows):
-    def step_to(self, last, row):
-        fresh = last is None or last[0] + self.step < row.at_s
-        return (int(row.at_s), 0, False), [(int(row.at_s), float(row.increase), fresh)] if fresh or row.increase > 0 else []
-
-
 def _windows(samples: DataFrame, by: list[str], minutes: int, late: str, **sums: Column) -> DataFrame:
     """Sums of a stream of samples (ts, by, ...) by window: by, at_s (the window's start), the sums, and the time of its end."""
     windows = samples.withWatermark("ts", late).groupBy(F.window("ts", f"{minutes} minutes"), *by).agg(*(c.alias(n) for n, c in sums.items()))
@@ -166,6 +160,13 @@ def retry_alerts(gauges: DataFrame, late: str, minutes: int = 5, seconds: float
 def new_series(samples: DataFrame, by: list[str], late: str, minutes: int = 5) -> DataFrame:
     """(by, at_s, increase, is_new) of the windows in which a series of a stream (ts, by, increase) counts an event: it
     increased, or it was not there a window ago. A series that is not seen for a window is forgotten, so state is held for
-    the live ones alone, and one that comes back is new again."""
-    windows = _windows(samples, by, minutes, late, increase=F.sum("increase"))
-    return windows.groupBy(*by).transformWithStateInPandas(_Presence(60 * minutes), f"{_by(samples, by)}, at_s long, increase double, is_new boolean", "append", "EventTime")
+    the live ones alone, and one that comes back is new again.
+
+    There can be as many series as samples, so no Python meets them one by one: a sample is in two frames of two windows
+    each, counted in the one that ends with its own window, and in the next only telling that the series was there. One
+    that is too late for its own window still tells so while the next is open."""
+    frames = samples.withWatermark("ts", late).select(*by, "ts", "increase", F.window("ts", f"{2 * minutes} minutes", f"{minutes} minutes").alias("frame"))
+    begins = F.col("frame.start") + F.expr(f"interval {minutes} minutes")
+    frames = frames.withColumn("own", F.col("ts") >= begins)
+    sums = frames.groupBy("frame", *by).agg(F.sum(F.when(F.col("own"), F.col("increase"))).alias("increase"), F.bool_or("own").alias("here"), F.bool_and("own").alias("is_new"))
+    return sums.where("here and (is_new or increase > 0)").select(*by, F.unix_timestamp(begins).alias("at_s"), F.col("increase").cast("double").alias("increase"), "is_new")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 from collections import Counter
 
 import pytest
@@ -9,8 +10,8 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from lumispark.operators import candidates as C
-from lumispark.operators import heavy
-from lumispark.plans import derive
+from lumispark.operators import heavy, operations
+from lumispark.plans import derive, state_twins
 from lumispark.schemas import CANDIDATE, ENVELOPE
 from lumispark.sources.messages import encode
 from lumispark.streaming import pipelines, state
@@ -71,6 +72,33 @@ def test_a_series_that_comes_back_is_new_again(spark, tmp_path):
     assert got == [("x", 0, 1.0, True), ("x", 120, 2.0, False), ("x", 360, 0.0, True), ("y", 60, 0.0, True)]
 
 
+def test_new_series_takes_no_series_to_python(spark, tmp_path, capsys):
+    stream = state.stateful_session(spark).readStream.schema("pod string, ts timestamp, increase double").parquet(str(tmp_path))
+    state.new_series(stream, ["pod"], "5 minutes", minutes=1).explain()
+    plan = capsys.readouterr().out
+    assert "StateStoreSave" in plan and not any(x in plan for x in ("Pandas", "Python", "PySpark", "Arrow"))
+
+
+def test_new_series_equal_those_of_the_batch(spark):
+    ts = F.timestamp_seconds(1_700_000_000 + F.col("id") * 1811 + F.pmod(F.xxhash64("id"), F.lit(1800)))
+    gone = F.pmod(F.xxhash64(F.floor(F.col("id") / 12)), F.lit(3)) == 0  # hours in which a series is not seen
+    samples = spark.range(3000).where(~gone).select("id", F.lit("e").alias("event_type"), (F.col("id") % 7).alias("pod"), ts.alias("ts"), F.when(F.col("id") % 5 == 0, 1.0).otherwise(0.0).alias("increase"))
+    got = state_twins.stream_new_series(samples, 360)
+    want = operations.new_series(operations.windowed(samples, ["event_type", "pod"], 360), ["event_type", "pod"], 360)
+    rows = lambda df, at: sorted(map(tuple, df.select("event_type", "pod", at, "increase", "is_new").collect()))
+    found = rows(got, "at_s")
+    assert found == rows(want, F.unix_timestamp("window_start")) and {True, False} == {r[-1] for r in found}
+    assert state_twins.stream_new_series(samples.limit(0), 360).count() == 0
+
+
+def test_parts_arrive_in_files_of_all_tasks_and_a_batch_each(spark):
+    rows = spark.range(4000, numPartitions=4).withColumn("part", F.col("id") % 2)
+    got = state_twins._in_parts(spark, rows, [F.col("part") == p for p in range(2)], "arrived", lambda s: s)
+    assert got.count() == 4000
+    folder = glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/arrived-*")[0]
+    assert len(glob.glob(f"{folder}/in/*.parquet")) == 8 and len(glob.glob(f"{folder}/state/commits/[0-9]*")) == 2
+
+
 @pytest.mark.parametrize("share", [0.5, 0.05, 0.011])
 def test_shares_are_exact(spark, share):
     keys = [None] * 700 + ["a"] * 3000 + ["b"] * 250 + [f"k{i % 90}" for i in range(2050)] + [f"u{i}" for i in range(4000)]
