@@ -66,3 +66,14 @@ def test_mixing_starts_no_workers_for_its_table_of_sources(spark, capsys):
     mixing.mix(documents(spark, [(i, "one two three", f"s{i % 3}") for i in range(30)]))[1].explain()
     plan = capsys.readouterr().out
     assert "LocalTableScan" in plan and "source_size" not in "".join(x for x in plan.splitlines() if "ExistingRDD" in x) and "blocks" not in "".join(x for x in plan.splitlines() if "ExistingRDD" in x)
+
+
+def test_mixing_stage_sends_no_slots_through_the_driver(spark, capsys):
+    own = spark.newSession()  # its settings end with it
+    own.conf.set("spark.sql.adaptive.enabled", "false")
+    docs = documents(own, [(i, " ".join(f"d{i}w{j}" for j in range(64)), f"s{i % 3}") for i in range(60)])
+    mixed = pipeline.mix_sources(own, docs, "")
+    mixed.explain()
+    joins = [x for x in capsys.readouterr().out.splitlines() if "Join" in x and "block#" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
+    assert mixed.columns == list(pipeline.COLUMNS) and mixed.count() > 30
